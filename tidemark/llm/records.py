@@ -135,6 +135,7 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """
     index = read_index(spark, folder)
     shards = index.groupBy("shard", "file").agg(F.sum("n_tokens").alias("tokens"))
+    n_files = max(1, index.select("shard", "file").distinct().count())
     # One row for each file, so its window in one task has as many rows as there are files.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select("shard", "file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
@@ -163,7 +164,8 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                     if rows:
                         yield done(rows)
 
-    return shards.repartition("shard", "file").mapInArrow(read, "shard int, doc_id long, ids binary, start long, n_tokens long")
+    # A stated number, as adaptive execution would join so few rows into one task that reads all files.
+    return shards.repartition(n_files, "shard", "file").mapInArrow(read, "shard int, doc_id long, ids binary, start long, n_tokens long")
 
 
 def read_rows(index_rows: DataFrame, folder: str) -> DataFrame:
