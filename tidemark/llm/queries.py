@@ -1,8 +1,23 @@
 """The queries of this subpackage and their SQL."""
 
 from .packing import op1_mixture_packing
+from .quality_knn import op9_quality_neighbour_vote
+from .quality_rules import op5_adaptive_quality_rules
 from .records import op4_binary_records
+from .simhash import op10_simhash_near_dedup
 from .token_counts import op8_digest_cache_counts
+from .toxicity import op3_toxicity_network
 
-QUERIES = {f.__name__: f for f in (op1_mixture_packing, op4_binary_records, op8_digest_cache_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixture_packing,
+        op3_toxicity_network,
+        op4_binary_records,
+        op5_adaptive_quality_rules,
+        op8_digest_cache_counts,
+        op9_quality_neighbour_vote,
+        op10_simhash_near_dedup,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
