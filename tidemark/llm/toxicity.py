@@ -25,7 +25,7 @@ from .labelled import fold, labelled_sample
 
 LENGTH, STRIDE = 32, 24
 PER_CLASS, WINDOWS_PER_DOC = 2000, 24
-BUCKETS, WIDTH, HIDDEN = 1 << 14, 6, 8
+BUCKETS, WIDTH, HIDDEN = 1 << 16, 6, 8
 PIECES = 5
 EPOCHS, BATCH, RATE = 4, 256, 0.01
 #: Distinct words a worker remembers; beyond this it starts anew.
@@ -144,12 +144,16 @@ class Network:
         bears = (y == 1) & ((weigh > bar) | (weigh == best[owners]))
         r = np.random.default_rng(seed)
         positive, negative = np.flatnonzero(bears), np.flatnonzero(y == 0)
-        negative = r.permutation(negative)[: 3 * len(positive)]
-        use, target = np.concatenate([positive, negative]), np.concatenate([np.ones(len(positive)), np.zeros(len(negative))])
+        logits = lambda some: np.concatenate([self.forward(self.project(self.embed(windows[some[at : at + 4096]]))) for at in range(0, len(some), 4096)])
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         step = 0
-        for _ in range(EPOCHS):
+        for epoch in range(EPOCHS):
+            some = r.permutation(negative)[: 3 * len(positive)]
+            if epoch:  # half of them the clean windows that look worst so far
+                worst = negative[np.argsort(-logits(negative), kind="stable")[: len(some) // 2]]
+                some = np.concatenate([worst, some[: len(some) - len(worst)]])
+            use, target = np.concatenate([positive, some]), np.concatenate([np.ones(len(positive)), np.zeros(len(some))])
             order = r.permutation(len(use))
             for at in range(0, len(order), BATCH):
                 some, step = order[at : at + BATCH], step + 1
@@ -158,8 +162,7 @@ class Network:
                     v[k] = 0.99 * v[k] + 0.01 * g * g
                     self.p[k] -= (RATE * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         top = np.full(len(labels), -np.inf)
-        for at in range(0, len(windows), 4096):
-            np.maximum.at(top, owners[at : at + 4096], self.forward(self.project(self.embed(windows[at : at + 4096]))))
+        np.maximum.at(top, owners, logits(np.arange(len(windows))))
         # Platt scaling of the highest logit of a document.
         x, w = np.stack([top, np.ones(len(top))], axis=1), np.array([1.0, 0.0])
         for _ in range(50):
