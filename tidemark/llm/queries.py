@@ -1,9 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
+from .kmeans_tree import op7_kmeans_tree_search
 from .packing import op1_mixture_packing
 from .quality_knn import op9_quality_neighbour_vote
 from .quality_rules import op5_adaptive_quality_rules
 from .records import op4_binary_records
+from .secrets import op6_markov_secret_scan
 from .simhash import op10_simhash_near_dedup
 from .token_counts import op8_digest_cache_counts
 from .toxicity import op3_toxicity_network
@@ -15,6 +17,8 @@ QUERIES = {
         op3_toxicity_network,
         op4_binary_records,
         op5_adaptive_quality_rules,
+        op6_markov_secret_scan,
+        op7_kmeans_tree_search,
         op8_digest_cache_counts,
         op9_quality_neighbour_vote,
         op10_simhash_near_dedup,
