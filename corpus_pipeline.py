@@ -1,5 +1,55 @@
-"""The corpus pipeline: quality rules, near-dedup, secret scan, mixing, packing."""
-STAGES = []
+"""The corpus pipeline: quality rules, near-dedup, secret scan, mixing, packing.
+
+Each stage takes all rows that the one before kept; all but the last return
+the columns of documents. run() writes each stage's rows to the shared folder
+and goes on from there.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import mixing, packing, quality_rules, secrets, simhash
+from tidemark.llm.common import stored, table
+
+#: Shares of tokens that the mixed corpus should have, by domain of `labels`. No document is repeated.
+TARGETS = {"good": 0.95, "toxic": 0.03, "junk": 0.02}
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the limits of their language and source."""
+    return quality_rules.keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the least doc_id, of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets in their texts masked."""
+    return secrets.mask_secrets(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn by the rates that bring the domains to TARGETS; a rate of 1 or more always stays."""
+    return mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")), TARGETS, max_rate=1.0)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 4096 tokens, each window with the sources' shares of the mixed corpus."""
+    return packing.digest(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+
+
+STAGES = [("quality rules", rules), ("near-dedup", near_dedup), ("secret scan", secret_scan), ("mixing", mix), ("packing", pack)]
+
+#: The models of the mixing stage and the token ids of packing have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,6 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
 from .kmeans_tree import op7_kmeans_tree_search
+from .mixing import op2_soft_membership_mixing
 from .packing import op1_mixture_packing
 from .quality_knn import op9_quality_neighbour_vote
 from .quality_rules import op5_adaptive_quality_rules
@@ -14,6 +15,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_mixture_packing,
+        op2_soft_membership_mixing,
         op3_toxicity_network,
         op4_binary_records,
         op5_adaptive_quality_rules,
