@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, map_slices, table, text_column
+from .common import fresh_path, map_slices, stored, table, text_column
 from .tokens import encoder
 
 CACHE = "content string, tokenizer string, n_tokens long"
@@ -89,6 +89,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024)
     encode_misses(docs, known, tokenizer, version).write.mode("append").parquet(cache)
     # A count may be there twice if two runs met the same text at once.
     counts = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.first("n_tokens").alias("n_tokens"))
+    counts = stored(counts, "token-counts-once")  # so that both sides of the join are plain exchanges and a hot content can be split
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text_column(), 256).alias("content"), F.octet_length(text_column()).cast("long").alias("n_bytes"))
     return rows.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
