@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import map_slices, stored, table, text_column
-from .tokens import encoder, id_type
+from .tokens import encoder, id_type, ranges
 
 SIZE = 4096
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -93,8 +93,8 @@ def served_before(windows: np.ndarray, weights: np.ndarray, totals: np.ndarray,
     return before + np.clip(left, 0, turn)  # equal times: in the order of the sources
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, targets: dict[str, float] | None = None) -> DataFrame:
-    """Pieces of all documents: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
+def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, targets: dict[str, float] | None = None, with_ids: bool = True) -> DataFrame:
+    """Pieces of all documents: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with_ids, ids.
 
     `targets` gives shares by source; a source without one, or every source if
     there are none, gets its share of the corpus. Null text is an empty
@@ -116,64 +116,53 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, targets
     number = {s: k for k, s in enumerate(names)}
     kind = id_type(tokenizer)
 
-    def work() -> Callable[[pa.RecordBatch], pa.RecordBatch | None]:
-        memory: dict[int, np.ndarray] = {}
-
-        def border(first: int, last: int) -> np.ndarray:
-            """served_before of the windows first .. last."""
-            if missing := [n for n in range(first, last + 1) if n not in memory]:
-                if len(memory) > 200_000:
-                    memory.clear()
-                    missing = list(range(first, last + 1))
-                memory.update(zip(missing, served_before(np.array(missing), weights, totals, size), strict=True))
-            return np.stack([memory[n] for n in range(first, last + 1)])
-
-        def windows(k: int, p: np.ndarray) -> np.ndarray:
-            """The window of each token p of source k, or the one before."""
-            at = _sent((p + 0.5) / weights[k], weights, totals).sum(axis=1)
-            return np.maximum((at - 1 - len(names)) // size, 0)
-
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            out: dict[str, list] = {n: [] for n in ("row", "start", "length", "crc", "seq", "offset", "ids")}
-            sources = np.array([number[s] for s in batch.column("source").to_pylist()])
+    def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def window(k: np.ndarray, p: np.ndarray) -> np.ndarray:
+            """The window of token p of source k, or one before."""
+            sent = _sent((p + 0.5) / weights[k], weights, totals).sum(axis=1)
+            return np.maximum((sent - 1 - len(names)) // size, 0)
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            source = np.array([number[s] for s in batch.column("source").to_pylist()], np.int64)
+            count = batch.column("n_tokens").to_numpy()
             begin = batch.column("queue_start").to_numpy() + batch.column("base").to_numpy()
-            count, ids = batch.column("n_tokens").to_numpy(), batch.column("ids").to_pylist()
-            for k in np.unique(sources):
-                rows = np.flatnonzero(sources == k)
-                lo, hi = begin[rows], begin[rows] + count[rows] - 1
-                first = windows(k, lo)
-                last = windows(k, hi) + 2 + len(names) // size
-                for row, a, z, f, g in zip(rows.tolist(), lo.tolist(), (hi + 1).tolist(), first.tolist(), last.tolist(), strict=True):
-                    served = border(f, g + 1)
-                    mine = served[:, k]
-                    at = a
-                    n = int(np.searchsorted(mine, a, "right")) - 1
-                    whole = np.frombuffer(ids[row], kind).astype("<u4")
-                    while at < z:
-                        while mine[n + 1] <= at:
-                            n += 1
-                        end = min(z, int(mine[n + 1]))
-                        sent = served[n + 1] - served[n]
-                        piece = whole[at - a : end - a].tobytes()
-                        for name, v in (("row", row), ("start", at - a), ("length", end - at), ("crc", zlib.crc32(piece)), ("seq", f + n), ("offset", int(sent[:k].sum()) + at - int(mine[n])), ("ids", piece)):
-                            out[name].append(v)
-                        at = end
-            take = pa.array(out["row"], pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(take),
-                    batch.column("source").take(take),
-                    *(pa.array(out[n], pa.int64()) for n in ("start", "length", "crc")),
-                    batch.column("n_tokens").take(take),
-                    *(pa.array(out[n], pa.int64()) for n in ("seq", "offset")),
-                    pa.array(out["ids"], pa.binary()),
-                ],
-                ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
-            )
+            first, last = window(source, begin), window(source, begin + count - 1) + 3 + len(names) // size
+            around = np.unique(ranges(first, last - first + 1))
+            served = served_before(around, weights, totals, size)
+            sent = np.diff(served, axis=0)
+            ahead = np.cumsum(sent, axis=1) - sent  # what earlier sources have in the window
+            rows, starts, ends, at = [], [], [], []
+            for k in np.unique(source):
+                mine, own = served[:, k], np.flatnonzero(source == k)
+                a = np.searchsorted(mine, begin[own], "right") - 1
+                z = np.searchsorted(mine, begin[own] + count[own] - 1, "right") - 1
+                w, doc = ranges(a, z - a + 1), np.repeat(own, z - a + 1)
+                s, e = np.maximum(begin[doc], mine[w]), np.minimum(begin[doc] + count[doc], mine[w + 1])
+                full = e > s
+                rows.append(doc[full])
+                starts.append((s - begin[doc])[full])
+                ends.append((e - begin[doc])[full])
+                at.append(np.stack([around[w], ahead[w, k] + s - mine[w]], axis=1)[full])
+            rows, starts, ends, at = (np.concatenate(x) for x in (rows, starts, ends, at))
+            ids = [np.frombuffer(x, kind).astype("<u4").tobytes() for x in batch.column("ids").to_pylist()]
+            pieces = [memoryview(ids[r])[4 * s : 4 * e] for r, s, e in zip(rows.tolist(), starts.tolist(), ends.tolist(), strict=True)]
+            take = pa.array(rows)
+            found = {
+                "doc_id": batch.column("doc_id").take(take),
+                "source": batch.column("source").take(take),
+                "start": pa.array(starts),
+                "length": pa.array(ends - starts),
+                "ids_crc32": pa.array(map(zlib.crc32, pieces), pa.int64()),
+                "doc_tokens": batch.column("n_tokens").take(take),
+                "sequence_id": pa.array(at[:, 0]),
+                "offset": pa.array(at[:, 1]),
+            }
+            return pa.RecordBatch.from_pydict(found | ({"ids": pa.array([bytes(x) for x in pieces], pa.binary())} if with_ids else {}))
 
         return each
 
-    return map_slices(tokens.join(parts.select("source", "part", "base"), ["source", "part"]), work, f"{PIECES}, ids binary")
+    placed = tokens.join(parts.select("source", "part", "base"), ["source", "part"])
+    return map_slices(placed, work, PIECES + ", ids binary" * with_ids, rows=1024)
 
 
 def sequences(pieces: DataFrame, size: int = SIZE, pad_id: int = 0) -> DataFrame:
@@ -193,11 +182,7 @@ def sequences(pieces: DataFrame, size: int = SIZE, pad_id: int = 0) -> DataFrame
     return map_slices(pieces, work, "sequence_id long, ids array<int>, n_tokens long")
 
 
-def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.drop("ids")
-
-
 def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digest(pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, with_ids=False)

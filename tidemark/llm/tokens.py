@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Distinct chunks that a worker remembers; beyond this it drops those seen least.
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 1_300_000
 
 
 class _Memo(dict):
@@ -50,7 +50,7 @@ def _kind(spec: dict) -> str:
     return "space" if drops and later and names <= {"NFC", "Replace", "Lowercase"} else "whole"
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0] .. start[0] + size[0] - 1, start[1] .. and so on, in one array."""
     size = size.astype(np.int64)
     ends = np.cumsum(size)
@@ -84,7 +84,7 @@ class TextEncoder:
         keep = self.used > max(1, int(np.median(self.used)))
         keys = [k for k, stays in zip(self.memo, keep, strict=True) if stays]
         start, length, whole = self.start[keep], self.length[keep], self.whole[keep]
-        flat = self.flat[_ranges(start, length)]
+        flat = self.flat[ranges(start, length)]
         self._reset()
         self.memo.update(zip(keys, range(len(keys)), strict=True))
         self.flat, self.length, self.whole = flat, length, whole
@@ -140,7 +140,7 @@ class TextEncoder:
         self.used += np.bincount(every, minlength=len(self.used))
         sizes = self.length[every].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(sizes)])
-        out = self.flat[_ranges(self.start[every], sizes)]
+        out = self.flat[ranges(self.start[every], sizes)]
         length = total[ends] - total[ends - counts]
         odd = np.concatenate([[0], np.cumsum(self.whole[every])])
         again = np.flatnonzero(odd[ends] - odd[ends - counts])
