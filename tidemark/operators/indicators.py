@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..dims import LABELS, MODERATE, STRONG
 
-SERIES = Window.partitionBy("series_id").orderBy("date")
-NEWEST = Window.partitionBy("series_id").orderBy(F.col("date").desc())
+
+def by_series() -> WindowSpec:
+    return Window.partitionBy("series_id").orderBy("date")
 
 
 def clean_observations(raw: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def clean_observations(raw: DataFrame) -> DataFrame:
 
 def last_n(obs: DataFrame, n: int = 48) -> DataFrame:
     """The newest n rows of each series."""
-    return obs.withColumn("rn", F.row_number().over(NEWEST)).where(F.col("rn") <= n)
+    return obs.withColumn("rn", F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("date").desc()))).where(F.col("rn") <= n)
 
 
 def change(new: Column, old: Column) -> Column:
@@ -34,17 +35,18 @@ def history(obs: DataFrame) -> DataFrame:
     Lags count observations. A horizon without enough of them is null and adds
     nothing to the score; a zero base gives 0, and in t3m is left out. The score is null for n < 2.
     """
-    avg = lambda a, b, c="value": F.avg(c).over(SERIES.rowsBetween(a, b))
+    series = by_series()
+    avg = lambda a, b, c="value": F.avg(c).over(series.rowsBetween(a, b))
     v = F.col("value")
     out = obs.select(
         *obs.columns,
-        F.row_number().over(SERIES).alias("n"),
-        F.lag("value", 1).over(SERIES).alias("v1"),
-        F.lag("value", 12).over(SERIES).alias("v12"),
+        F.row_number().over(series).alias("n"),
+        F.lag("value", 1).over(series).alias("v1"),
+        F.lag("value", 12).over(series).alias("v12"),
         avg(-2, 0).alias("a0"),
         avg(-5, -3).alias("a3"),
         avg(-11, 0).alias("m12"),
-        F.stddev_pop("value").over(SERIES.rowsBetween(-11, 0)).alias("s12"),
+        F.stddev_pop("value").over(series.rowsBetween(-11, 0)).alias("s12"),
     ).withColumn("step", change(v, F.col("v1")))
     n, or0 = F.col("n"), lambda c: F.coalesce(c, F.lit(0.0))
     out = out.select(

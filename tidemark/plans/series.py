@@ -31,8 +31,12 @@ def r(name: str, to: str | None = None):  # noqa: ANN201
 
 
 #: The tables' times have no zone: count from the epoch without one.
-EPOCH = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', date)")
-MICROS, SQL_MICROS = EPOCH.alias("micros"), "epoch_us(date) AS micros"
+MICROS, SQL_MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', date)", "epoch_us(date) AS micros"
+
+
+def micros():  # noqa: ANN201
+    return F.expr(MICROS).alias("micros")
+
 
 
 @query(f"WITH {RAW} SELECT series_id, {SQL_MICROS}, {r6('CAST(value AS DOUBLE)')} AS value FROM raw WHERE value <> '.'")
@@ -40,24 +44,24 @@ def read_observations(spark: SparkSession, sf: str) -> DataFrame:
     """A1: events written as JSON payloads of one observation, read by the reader, then cleaned."""
     path = M.scratch(spark, "observations")
     raw = M.raw_observations(spark, sf)
-    raw.select(F.col("series_id").cast("string").alias("series_id"), F.array(F.struct(EPOCH.cast("string").alias("date"), "value")).alias("observations")).write.json(path)
+    raw.select(F.col("series_id").cast("string").alias("series_id"), F.array(F.struct(F.expr(MICROS).cast("string").alias("date"), "value")).alias("observations")).write.json(path)
     rows = I.clean_observations(readers.read_observations(spark, path))
     return rows.select(F.col("series_id").cast("long").alias("series_id"), F.col("date").cast("long").alias("micros"), r("value"))
 
 
 @query(f"WITH {RAW} SELECT series_id, {SQL_MICROS}, {r6('CAST(value AS DOUBLE)')} AS value FROM raw WHERE value <> '.'")
 def clean_observations(spark: SparkSession, sf: str) -> DataFrame:
-    return I.clean_observations(M.raw_observations(spark, sf)).select("series_id", MICROS, r("value"))
+    return I.clean_observations(M.raw_observations(spark, sf)).select("series_id", micros(), r("value"))
 
 
 @query(f"WITH {OBS} SELECT series_id, {SQL_MICROS}, {r6('value')} AS value FROM obs QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY date DESC) <= 48")
 def last_n_observations(spark: SparkSession, sf: str) -> DataFrame:
-    return I.last_n(M.observations(spark, sf)).select("series_id", MICROS, r("value"))
+    return I.last_n(M.observations(spark, sf)).select("series_id", micros(), r("value"))
 
 
 def _one(column: str):  # noqa: ANN202
     def f(spark: SparkSession, sf: str) -> DataFrame:
-        return I.history(M.observations(spark, sf)).select("series_id", MICROS, r(column))
+        return I.history(M.observations(spark, sf)).select("series_id", micros(), r(column))
 
     return f, f"WITH {OBS}, {metrics('obs')} SELECT series_id, {SQL_MICROS}, {r6(column)} AS {column} FROM hist"
 
@@ -70,12 +74,12 @@ ALL = ("mom", "qoq", "yoy", "t3m", "z", "score")
 
 @query(f"WITH {OBS}, {metrics('obs')} SELECT series_id, {SQL_MICROS}, {r6('value')} AS value, {', '.join(f'{r6(c)} AS {c}' for c in ALL)} FROM hist")
 def mtf_history(spark: SparkSession, sf: str) -> DataFrame:
-    return I.history(M.observations(spark, sf)).select("series_id", MICROS, r("value"), *map(r, ALL))
+    return I.history(M.observations(spark, sf)).select("series_id", micros(), r("value"), *map(r, ALL))
 
 
 @query(f"WITH {OBS}, {metrics('obs')} SELECT series_id, {SQL_MICROS}, {r6('value')} AS value, {', '.join(f'{r6(c)} AS {c}' for c in ALL)} FROM hist_last")
 def mtf_latest(spark: SparkSession, sf: str) -> DataFrame:
-    return I.latest(M.observations(spark, sf)).select("series_id", MICROS, r("value"), *map(r, ALL))
+    return I.latest(M.observations(spark, sf)).select("series_id", micros(), r("value"), *map(r, ALL))
 
 
 @query(f"""WITH {OBS}, l AS (SELECT series_id, value, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS rn FROM obs QUALIFY rn <= 20),
@@ -239,7 +243,10 @@ NOW = f"""esent AS (SELECT code, count(*) AS n, 0.04 * coalesce(sum(CAST({hit(NE
  j AS (SELECT ev.code, currency AS asset, coalesce(precursor, 0) AS precursor, coalesce(n, 0) AS n, delta FROM ev LEFT JOIN prec USING (code) LEFT JOIN esent USING (code)),
  p AS (SELECT code, asset AS currency, precursor, coalesce({POINT}, 0) AS points FROM j), c AS (SELECT *, round(0.60 * precursor + 0.40 * (points / 0.5), 12) AS composite FROM p),
  nowc AS (SELECT *, CASE WHEN composite > 0.10 THEN 'higher' WHEN composite < -0.10 THEN 'lower' ELSE 'in line' END AS label, least(94, CAST(floor(round(62 + abs(composite) * 48, 9)) AS INTEGER)) AS confidence FROM c)"""
-NEWS_COL = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
+
+
+def news_text():  # noqa: ANN201
+    return F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))
 
 
 def _events(spark: SparkSession) -> DataFrame:
@@ -248,14 +255,14 @@ def _events(spark: SparkSession) -> DataFrame:
 
 def _nowcast(spark: SparkSession, sf: str) -> DataFrame:
     events, articles = _events(spark), M.articles(spark, sf)
-    lower = articles.withColumn("t", F.lower(NEWS_COL))
+    lower = articles.withColumn("t", F.lower(news_text()))
     hits = lower.join(events.select("code", "keywords"), F.exists("keywords", lambda w: F.contains(F.col("t"), w)))
     return S.event_nowcast(_precursors(spark, sf), N.sentiment(hits, ["code"], M.BULL, M.BEAR), events)
 
 
 @query(f"WITH {ARTICLES}, {EV} SELECT code, seq, row_number() OVER (PARTITION BY code ORDER BY seq) <= 3 AS top FROM corr")
 def correlated_articles(spark: SparkSession, sf: str) -> DataFrame:
-    hits = N.match_events(M.articles(spark, sf), _events(spark), NEWS_COL)
+    hits = N.match_events(M.articles(spark, sf), _events(spark), news_text())
     top = N.top_per_key(hits, "code", "seq", 3).select("code", "seq", F.lit(True).alias("top"))
     return hits.join(top, ["code", "seq"], "left").withColumn("top", F.coalesce("top", F.lit(False)))
 
