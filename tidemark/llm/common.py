@@ -42,6 +42,19 @@ def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def hash_sample(df: DataFrame, by: list[str], n: int) -> DataFrame:
+    """At most n rows, those with the least hashes of some columns.
+
+    A filter on the hash first keeps about 2 n rows of all, so that the sort of
+    the rest stays small however many partitions there are.
+    """
+    total, key = df.count(), F.xxhash64(*by)
+    if total > 4 * n:
+        df = df.where(F.pmod(key, F.lit(1 << 40)) < int((1 << 40) * (2 * n / total)))
+        key = F.pmod(key, F.lit(1 << 40))
+    return df.orderBy(key, *by).limit(n)
+
+
 def map_slices(
     df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, rows: int = 256, chars: int = 4_000_000
 ) -> DataFrame:

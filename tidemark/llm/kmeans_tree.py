@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_slices, stored, table
+from .common import hash_sample, map_slices, stored, table
 
 SAMPLE, BRANCH, LEAF, ROUNDS = 20_000, 16, 64, 8
 CALIBRATION, RECALL = 200, 0.95
@@ -178,7 +178,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     width = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
     rows = rows.where(F.size("v") == (width["n"] if width else 0))
-    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
+    some = hash_sample(rows.select("vec_id", "v"), ["vec_id"], sample).select("v").toPandas()["v"]
     if not len(some):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     tree = Tree(np.stack(some.to_list()))

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_column
+from .common import hash_sample, table, text_column
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]+"
@@ -37,7 +37,7 @@ MASK = "[SECRET]"
 
 def training_strings(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> DataFrame:
     """value, label (1 random, 0 ordinary) from at most sample_words different words of sample_docs documents, chosen by a hash."""
-    docs = docs.select(text_column().alias("text"), F.xxhash64(text_column()).alias("h")).orderBy("h").limit(sample_docs)
+    docs = hash_sample(docs.select("doc_id", text_column().alias("text")), ["doc_id"], sample_docs)
     words = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(sample_words)
     digest = F.sha2("w", 256)
     number = F.pmod(F.xxhash64("w"), F.lit(1000)).cast("string")

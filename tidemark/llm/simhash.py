@@ -223,7 +223,8 @@ def keep_one(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """The rows of docs, all columns, of which one stands for each group of near copies: the one with the least doc_id."""
     rows = stored(fingerprints(docs, docs.columns), "simhash-rows")
     winners = groups(rows.select("uid", "doc_id", "fp"), reach).select(F.col("winner").alias("uid")).distinct()
-    return rows.join(winners, "uid", "left_semi").select("row.*")
+    # Never a broadcast: winners grow with the documents. Sorting both sides by uid costs one shuffle of the texts, at every size.
+    return rows.join(winners.hint("merge"), "uid", "left_semi").select("row.*")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
