@@ -1,5 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
+from . import quality_sql
 from .kmeans_tree import op7_kmeans_tree_search
 from .mixing import op2_soft_membership_mixing
 from .packing import op1_mixture_packing
@@ -26,4 +27,5 @@ QUERIES = {
         op10_simhash_near_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators train models, tokenize, hash with seeds or search by approximation, which SQL cannot express.
+ORACLE_SQL = {"op5_adaptive_quality_rules": quality_sql.SQL}
