@@ -42,7 +42,7 @@ def test_recall_and_scores(spark):
 
 def test_hot_vector_and_ties(spark, monkeypatch):
     """A third of all rows are one vector: blocks split it, ties go to the smaller id."""
-    monkeypatch.setattr(kmeans_tree, "ROW_BLOCK", 50)
+    monkeypatch.setattr(kmeans_tree, "BUCKET", 50)
     monkeypatch.setattr(kmeans_tree, "QUERY_BLOCK", 7)
     r = np.random.default_rng(5)
     rows = [(k, [1.0, 0.0, 0.0, 0.0] if k % 3 == 0 else r.standard_normal(4).tolist()) for k in range(900)]

@@ -8,8 +8,10 @@ is calibrated: for some queries the true neighbours are found by brute force
 over all rows, and the number of visits is widened until the wanted share of
 them lies in the visited leaves.
 
-Work is dealt by (leaf, block of rows, block of queries), both blocks of
-bounded size, so a leaf with a third of all rows is many tasks.
+Work is dealt by (bucket of rows, block of queries). A bucket is a run of
+leaves, neighbours in the tree, with about BUCKET rows; a leaf with more rows
+is several buckets. So a leaf with a third of all rows is many tasks, and a
+query gets one short list from each bucket it asks.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from .common import hash_sample, map_slices, stored, table
 
 SAMPLE, BRANCH, LEAF, ROUNDS = 20_000, 16, 64, 8
 CALIBRATION, RECALL = 200, 0.95
-ROW_BLOCK, QUERY_BLOCK = 4096, 1024
+BUCKET, QUERY_BLOCK = 16_384, 1024
 
 
 class Tree:
@@ -110,12 +112,16 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def best(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def best(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, asked: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the rows and scores of its k largest inner products, ties to the smaller id, its own id left out.
 
+    asked (queries, rows) says which rows a query looks at; all if None.
+
     Scores come from one way of summing, so equal vectors have equal scores wherever they lie.
     """
     rough, out = q @ x.T, []
+    if asked is not None:
+        rough[~asked] = -np.inf
     for row, me, v in zip(rough, own, q, strict=True):
         row[ids == me] = -np.inf
         n = min(k, len(row))
@@ -205,33 +211,62 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
         visits += max(1, visits // 8)
     visits = min(visits, tree.leaves)
 
+    # One row for each leaf of a tree of bounded size: the buckets its rows go to.
+    size = np.zeros(tree.leaves, np.int64)
+    for r in indexed.groupBy("leaf").count().collect():
+        size[r["leaf"]] = r["count"]
+    several = np.maximum(1, -(-size // BUCKET))
+    first, at, filled = np.zeros(tree.leaves, np.int64), 0, 0
+    for leaf in range(tree.leaves):
+        if filled and filled + size[leaf] > BUCKET:
+            at, filled = at + 1, 0
+        first[leaf] = at
+        if several[leaf] > 1:
+            at, filled = at + several[leaf], 0
+        else:
+            filled += size[leaf]
+    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+
     def ask() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [held.value.visit(v, visits) for v in matrix(batch.column("v"))]
-            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            return pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(at)), batch.column("v").take(pa.array(at)), pa.array(np.concatenate(found).astype(np.int64))], ["query_id", "v", "leaf"])
+            rows, buckets, leaves = [], [], []
+            for k, v in enumerate(matrix(batch.column("v"))):
+                wanted: dict[int, list[int]] = {}
+                for leaf in held.value.visit(v, visits):
+                    for b in range(first[leaf], first[leaf] + several[leaf]):
+                        wanted.setdefault(b, []).append(leaf)
+                rows += [k] * len(wanted)
+                buckets += wanted
+                leaves += wanted.values()
+            take = pa.array(rows, pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column("query_id").take(take), batch.column("v").take(take), pa.array(buckets, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))], ["query_id", "w", "bucket", "leaves"])
 
         return each
 
-    asked = map_slices(queries, ask, "query_id long, v array<double>, leaf long", rows=64)
-    arrive = stored(asked, "kmeans-asked")
-    sizes = indexed.groupBy("leaf").agg(F.count("*").alias("n")).join(arrive.groupBy("leaf").agg(F.count("*").alias("m")), "leaf")
-    sizes = F.broadcast(sizes.select("leaf", F.ceil(F.col("n") / ROW_BLOCK).cast("int").alias("n_rows"), F.ceil(F.col("m") / QUERY_BLOCK).cast("int").alias("n_asks")))  # one row a leaf, of a tree of bounded size
-    block = lambda name, n: F.pmod(F.xxhash64(name), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = indexed.join(sizes, "leaf").select("leaf", block("vec_id", F.col("n_rows")).alias("rb"), every(F.col("n_asks")).alias("qb"), "vec_id", "v")
-    right = arrive.join(sizes, "leaf").select("leaf", every(F.col("n_rows")).alias("rb"), block("query_id", F.col("n_asks")).alias("qb"), "query_id", F.col("v").alias("w"))
+    asked = map_slices(queries, ask, "query_id long, w array<double>, bucket long, leaves array<long>", rows=64)
+    asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")), "kmeans-asked")
+    where = F.broadcast(spark.createDataFrame([(k, int(f), int(n)) for k, (f, n) in enumerate(zip(first, several, strict=True))], "leaf long, first long, several long"))
+    placed = indexed.join(where, "leaf").select("leaf", "vec_id", "v", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("several"))).alias("bucket"))
+    pairs = asked.select(F.col("bucket").alias("in_bucket"), F.col("block").alias("for_block")).distinct()
+    left = placed.join(pairs, F.col("bucket") == F.col("in_bucket")).select("in_bucket", "for_block", "leaf", "vec_id", "v")
 
     def compare(key: tuple, rows: pa.Table, asks: pa.Table) -> pa.Table:
-        ids = rows.column("vec_id").to_numpy()
-        if not len(ids) or not asks.num_rows:
+        if not rows.num_rows or not asks.num_rows:
             return pa.table(_found([]))
-        own, x = asks.column("query_id").to_numpy(), matrix(rows.column("v").combine_chunks())
-        q = matrix(asks.column("w").combine_chunks())
-        return pa.table(_found([(own[at : at + 64], best(q[at : at + 64], own[at : at + 64], x, ids, k), ids, np.full(len(ids), key[0].as_py())) for at in range(0, len(own), 64)]))
-
-    keys = ["leaf", "rb", "qb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, FOUND)
+        ids, leaf = rows.column("vec_id").to_numpy(), rows.column("leaf").to_numpy()
+        x, q = (matrix(t.column(c).combine_chunks()) for t, c in ((rows, "v"), (asks, "w")))
+        own, leaves = asks.column("query_id").to_numpy(), asks.column("leaves").to_pylist()
+        parts = []
+        for at in range(0, len(own), 64):
+            some = slice(at, at + 64)
+            looks = np.zeros((len(own[some]), tree_leaves), bool)
+            for row, several_leaves in zip(looks, leaves[some], strict=True):
+                row[several_leaves] = True
+            parts.append((own[some], best(q[some], own[some], x, ids, k, looks[:, leaf]), ids, leaf))
+        return pa.table(_found(parts))
+
+    tree_leaves = tree.leaves
+    found = left.groupBy("in_bucket", "for_block").cogroup(asked.groupBy("bucket", "block")).applyInArrow(compare, FOUND)
     return top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
