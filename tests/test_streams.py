@@ -54,3 +54,18 @@ def test_device_violations(spark, events, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     got = drain(X.device_violations(logins(stream)), "violations", tmp_path, "append")
     assert {r["login_id"] for r in got.collect()} == want
+
+
+def test_tick_alerts(spark, tmp_path):
+    """One alert a tick: the first unseen urgent title among the first four articles of the tick."""
+    ticks = [[("w", 1, "calm", False), ("w", 2, "war", True), ("w", 3, "attack", True)], [("w", 4, "war", True), ("w", 5, "attack", True)], [("w", 6, "war", True), *(("w", 7 + k, f"calm {k}", False) for k in range(3)), ("w", 11, "crisis", True)]]
+    schema = "weekend date, seq long, title string, urgent boolean"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    got = []
+    for k, tick in enumerate(ticks):
+        spark.createDataFrame([(None, *r[1:]) for r in tick], schema).withColumn("weekend", F.lit("2024-01-06").cast("date")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = X.tick_alerts(stream, keep_ms=None).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        got.append({r["title"] for r in spark.read.schema("weekend date, seq long, title string").parquet(str(tmp_path / "out")).collect()})
+    assert got == [{"war"}, {"war", "attack"}, {"war", "attack"}]

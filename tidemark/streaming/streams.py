@@ -54,12 +54,12 @@ def weekend_alerts(articles: DataFrame, words: list[str] = EMERGENCY) -> DataFra
 class TickAlerts(StatefulProcessor):
     """At most one alert a tick: the first unseen of the first few articles, titles remembered until the weekend ends."""
 
-    def __init__(self, top: int = 4) -> None:
-        self.top = top
+    def __init__(self, top: int = 4, keep_ms: int | None = 2 * 86_400_000) -> None:
+        self.top, self.keep = top, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "title string", "at long", ttlDurationMs=2 * 86_400_000)
+        self.seen = handle.getMapState("seen", "title string", "at long", ttlDurationMs=self.keep)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         tick = pd.concat(list(rows)).sort_values("seq", kind="stable").head(self.top)
@@ -103,9 +103,10 @@ def device_violations(logins: DataFrame) -> DataFrame:
     )
 
 
-def tick_alerts(articles: DataFrame, top: int = 4) -> DataFrame:
-    """articles: weekend, seq, title, urgent. State is keyed by weekend and expires by its time to live."""
-    return articles.groupBy("weekend").transformWithStateInPandas(statefulProcessor=TickAlerts(top), outputStructType="weekend date, seq long, title string", outputMode="Append", timeMode="ProcessingTime")
+def tick_alerts(articles: DataFrame, top: int = 4, keep_ms: int | None = 2 * 86_400_000) -> DataFrame:
+    """articles: weekend, seq, title, urgent. State is keyed by weekend and expires by its time to live; keep_ms=None keeps it."""
+    mode = "None" if keep_ms is None else "ProcessingTime"
+    return articles.groupBy("weekend").transformWithStateInPandas(statefulProcessor=TickAlerts(top, keep_ms), outputStructType="weekend date, seq long, title string", outputMode="Append", timeMode=mode)
 
 
 def sessions(activity: DataFrame, gap: str = "5 days", late: str = "1 day") -> DataFrame:
