@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from .common import hash_sample, map_slices, stored, table
 
-SAMPLE, BRANCH, LEAF, ROUNDS = 20_000, 16, 64, 8
+SAMPLE, BRANCH, LEAF, ROUNDS = 20_000, 16, 256, 8
 CALIBRATION, RECALL = 200, 0.95
 BUCKET, QUERY_BLOCK = 16_384, 1024
 
@@ -225,7 +225,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
             at, filled = at + several[leaf], 0
         else:
             filled += size[leaf]
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    n_queries = queries.count()
+    n_blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    # A stated number of tasks, as adaptive execution would join the few bytes of many queries into one.
+    spread = queries.repartition(max(1, min(n_queries // 64, int(spark.conf.get("spark.sql.shuffle.partitions")))), "query_id")
 
     def ask() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -243,7 +246,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
 
         return each
 
-    asked = map_slices(queries, ask, "query_id long, w array<double>, bucket long, leaves array<long>", rows=64)
+    asked = map_slices(spread, ask, "query_id long, w array<double>, bucket long, leaves array<long>", rows=64)
     asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int")), "kmeans-asked")
     where = F.broadcast(spark.createDataFrame([(k, int(f), int(n)) for k, (f, n) in enumerate(zip(first, several, strict=True))], "leaf long, first long, several long"))
     placed = indexed.join(where, "leaf").select("leaf", "vec_id", "v", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("several"))).alias("bucket"))

@@ -30,7 +30,7 @@ RUN = "[A-Za-z0-9+/_-]{20,}={0,2}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 SIDE = len(ALPHABET) + 1
 MIN_RATIO, MIN_PER_STEP = 12.0, 0.6
-SAMPLE_DOCS, SAMPLE_WORDS = 2000, 50_000
+SAMPLE_DOCS, SAMPLE_WORDS = 2000, 10_000
 SPANS = "array<struct<s:int,kind:int,e:int>>"
 MASK = "[SECRET]"
 
