@@ -93,8 +93,8 @@ SIGNED = "CASE WHEN cat = 'labor_neg' THEN -score ELSE score END"
 TABLE = f"{MONTHLY}, {DIM}, {metrics('monthly', 'm')}, tab AS (SELECT dim.*, m_last.date, value, mom, qoq, yoy, t3m, z, n, {SIGNED} AS score FROM m_last JOIN dim USING (series_id)), macro AS (SELECT currency, sum(score * weight) / sum(weight) AS macro FROM tab WHERE score IS NOT NULL GROUP BY currency)"
 
 
-def _table(spark: SparkSession, sf: str) -> DataFrame:
-    return I.indicator_table(I.latest(M.monthly(spark, sf)), M.dimension(spark, sf))
+def _table(spark: SparkSession, sf: str, obs: DataFrame | None = None) -> DataFrame:
+    return I.indicator_table(I.latest(obs or M.monthly(spark, sf)), M.dimension(spark, sf))
 
 
 @query(f"WITH {TABLE} SELECT currency, indicator, cat, {r6('weight')} AS weight, {r6('value')} AS value, {r6('mom')} AS mom, {r6('qoq')} AS qoq, {r6('yoy')} AS yoy, {bias('score')} AS bias FROM tab")
@@ -130,8 +130,8 @@ YIELDS = """newest AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER
  ry AS (SELECT date, value FROM cut WHERE series_id = 99 UNION ALL SELECT date, value FROM two WHERE NOT EXISTS (SELECT 1 FROM cut WHERE series_id = 99) ORDER BY date DESC LIMIT 36)"""
 
 
-def _yields(spark: SparkSession, sf: str) -> DataFrame:
-    return I.real_yield(M.monthly(spark, sf).withColumn("series_id", F.col("series_id").cast("string")), "99", "7", "8")
+def _yields(spark: SparkSession, sf: str, obs: DataFrame | None = None) -> DataFrame:
+    return I.real_yield((obs or M.monthly(spark, sf)).withColumn("series_id", F.col("series_id").cast("string")), "99", "7", "8")
 
 
 @query(f"WITH {MONTHLY}, {YIELDS} SELECT date, {r6('value')} AS value FROM ry")
@@ -143,9 +143,9 @@ FALL = M.values("fb", "role, rank, series_id, off", M.FALLBACKS)
 PICKED = f"{FALL}, ranked AS (SELECT role, rank, series_id, date, value + off AS value FROM monthly JOIN fb USING (series_id)), picked AS (SELECT * FROM ranked QUALIFY rank = min(rank) OVER (PARTITION BY role))"
 
 
-def _fallback(spark: SparkSession, sf: str) -> DataFrame:
+def _fallback(spark: SparkSession, sf: str, obs: DataFrame | None = None) -> DataFrame:
     dim = M.rows(spark, M.FALLBACKS, "role string, rank int, series_id int, offset double")
-    return I.series_fallback(M.monthly(spark, sf), dim)
+    return I.series_fallback(obs or M.monthly(spark, sf), dim)
 
 
 @query(f"WITH {MONTHLY}, {PICKED} SELECT role, series_id, date, {r6('value')} AS value FROM picked WHERE role <> 'proxy'")
@@ -202,15 +202,15 @@ GOLD = f"yobs AS (SELECT 'ry' AS series_id, date, value FROM ry), {metrics('yobs
 OIL = f"wobs AS (SELECT 'wti' AS series_id, date, value FROM picked WHERE role = 'wti'), {metrics('wobs', 'wt')}, oil AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM wobs) THEN 0.5 * coalesce((SELECT score FROM wt_last), 0) + 0.5 * (points / 0.5) ELSE 0.12 END AS composite FROM points WHERE asset = 'Oil')"
 
 
-def _gold(spark: SparkSession, sf: str) -> DataFrame:
-    y = I.latest(_yields(spark, sf).withColumn("series_id", F.lit("ry"))).select("score", F.lit(True).alias("has_data"))
-    usd = I.macro_score(_table(spark, sf)).where("currency = 'R0'").select("macro")
-    return S.gold_composite(y, usd, _points(spark, sf).where("asset = 'Gold'"))
+def _gold(spark: SparkSession, sf: str, obs: DataFrame | None = None, points: DataFrame | None = None) -> DataFrame:
+    y = I.latest(_yields(spark, sf, obs).withColumn("series_id", F.lit("ry"))).select("score", F.lit(True).alias("has_data"))
+    usd = I.macro_score(_table(spark, sf, obs)).where("currency = 'R0'").select("macro")
+    return S.gold_composite(y, usd, (points or _points(spark, sf)).where("asset = 'Gold'"))
 
 
-def _oil(spark: SparkSession, sf: str) -> DataFrame:
-    w = _fallback(spark, sf).where("role = 'wti'").select(F.lit("wti").alias("series_id"), "date", "value")
-    return S.oil_composite(I.latest(w).select("score", F.lit(True).alias("has_data")), _points(spark, sf).where("asset = 'Oil'"))
+def _oil(spark: SparkSession, sf: str, obs: DataFrame | None = None, points: DataFrame | None = None) -> DataFrame:
+    w = _fallback(spark, sf, obs).where("role = 'wti'").select(F.lit("wti").alias("series_id"), "date", "value")
+    return S.oil_composite(I.latest(w).select("score", F.lit(True).alias("has_data")), (points or _points(spark, sf)).where("asset = 'Oil'"))
 
 
 @query(f"WITH {TABLE}, {POINTS}, {YIELDS}, {GOLD} SELECT {r6('composite')} AS composite FROM gold")
@@ -326,9 +326,11 @@ def _assets(spark: SparkSession) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    mapped = M.rows(spark, MAP, "asset string, currency string").join(I.macro_score(_table(spark, sf)), "currency").select(F.col("asset").alias("currency"), "macro")
-    both = S.currency_composite(mapped, _points(spark, sf)).select(F.col("currency").alias("asset"), F.col("composite").alias("score"))
-    for name, one in (("Gold", _gold(spark, sf)), ("Oil", _oil(spark, sf))):
+    """asset, score. Several branches need the monthly series and the news points: both are written once."""
+    obs, points = M.stored(M.monthly(spark, sf), "monthly"), M.stored(_points(spark, sf), "points")
+    mapped = M.rows(spark, MAP, "asset string, currency string").join(I.macro_score(_table(spark, sf, obs)), "currency").select(F.col("asset").alias("currency"), "macro")
+    both = S.currency_composite(mapped, points).select(F.col("currency").alias("asset"), F.col("composite").alias("score"))
+    for name, one in (("Gold", _gold(spark, sf, obs, points)), ("Oil", _oil(spark, sf, obs, points))):
         both = both.unionByName(one.select(F.lit(name).alias("asset"), F.col("composite").alias("score")))
     return both.withColumn("score", F.round("score", 12))
 
