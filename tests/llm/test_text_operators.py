@@ -223,7 +223,7 @@ def test_simhash_links_in_dense_balls(spark, monkeypatch):
             fps.add(f)
             f ^= sum(1 << b for b in r.sample(range(64), r.choice((1, 2, 4, 4, 5, 5))))
     rows = list(enumerate(sorted(fps)))
-    for name, v in (("FIRST_BITS", 2), ("MORE_BITS", 3), ("USUAL", 200), ("MOST", 60)):
+    for name, v in (("FIRST_BITS", 2), ("MORE_BITS", 3), ("USUAL", 200), ("MOST", 20_000)):
         monkeypatch.setattr(simhash, name, v)
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for _, f in rows], "fp long")
     roots = {x["node"] % (1 << 64): x["root"] % (1 << 64) for x in simhash.components(simhash.links(df)).collect()}

@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from .common import map_slices, stored, table, text_column
 
 SHINGLE, SEED, REACH = 4, 42, 2
-#: Leading bits at first and by how many they are lengthened; fingerprints with the same leading bits, on average and at most.
-FIRST_BITS, MORE_BITS, USUAL, MOST = 8, 8, 1000, 4000
+#: Leading bits at first and by how many they are lengthened; fingerprints with the same leading bits on average; variants that may gather at one receiver.
+FIRST_BITS, MORE_BITS, USUAL, MOST = 8, 8, 1000, 8_000_000
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 INDEX_BITS = np.uint64(24)
 
@@ -146,14 +146,26 @@ def meet(fps: np.ndarray, reach: int, bits: int, lead: int) -> tuple[np.ndarray,
     return fps[linked], fps[label[linked]]
 
 
+def gathered(fps: DataFrame, reach: int, bits: int, under: np.ndarray | None = None) -> DataFrame:
+    """lead, n: how many variants have these leading bits; under: only those whose first bits - MORE_BITS are among these."""
+    down = 64 - bits
+    masks = flips(down, 64, reach)
+    left = [len(flips(0, down, reach - k)) for k in range(reach + 1)]
+    ways = F.explode(F.array(*(F.struct(F.lit(int(m)).alias("mask"), F.lit(left[k]).cast("long").alias("n")) for m, k in zip(masks.view(np.int64), np.bitwise_count(masks).tolist(), strict=True))))
+    sent = fps.select("fp", ways.alias("way")).select(F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("way.mask")), down).alias("lead"), "way.n")
+    if under is not None:
+        sent = sent.where(F.shiftrightunsigned("lead", MORE_BITS).isin(under.view(np.int64).tolist()))
+    return sent.groupBy("lead").agg(F.sum("n").alias("n"))
+
+
 def links(fps: DataFrame, reach: int = REACH) -> DataFrame:
     """a, b: for distinct fingerprints fp, pairs with the same connected groups as all pairs of at most 2 * reach differing bits."""
     n = fps.count()
     bits = first = min(64, max(FIRST_BITS, math.ceil(math.log2(max(1, n / USUAL)))))
     hot: dict[int, np.ndarray] = {}
-    while bits < 64:  # at most one value in MOST fingerprints is collected
-        many = fps.groupBy(F.shiftrightunsigned("fp", 64 - bits).alias("lead")).count().where(F.col("count") > MOST)
-        if not (found := [r["lead"] for r in many.collect()]):
+    while bits < 64:  # of all variants, at most one value of the leading bits in MOST is collected
+        found = [r["lead"] for r in gathered(fps, reach, bits, hot.get(bits - MORE_BITS)).where(F.col("n") > MOST).collect()]
+        if not found:
             break
         hot[bits] = np.array(found, np.int64).view(np.uint64)
         bits = min(64, bits + MORE_BITS)
