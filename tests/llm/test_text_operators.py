@@ -266,6 +266,34 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan(empty).count() == secrets.mask_secrets(empty).count() == 0
 
 
+def test_secrets_in_parts_of_runs(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = random.Random(4)
+    random_of = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    plain = [w for w in re.findall(r"\b[a-z]{4,9}\b", " ".join(x["text"] for x in table.where("text is not null").limit(200).collect()))]
+    words = lambda n, by: by.join(r.choice(plain) for _ in range(n))
+    short = [random_of(n) for n in (12, 16, 19) for _ in range(60)]
+    texts = [f"see {x} here" for x in short]
+    deep = [random_of(24) for _ in range(120)]
+    texts += [f"https://{words(4 + k % 5, '/')}/{x}/{words(4, '/')}" for k, x in enumerate(deep)]
+    pairs = [(random_of(24), random_of(24)) for _ in range(60)]
+    texts += [f"{a}/{words(9, '/')}/{b}" for a, b in pairs]
+    rest = [random_of(30).replace("a", "Q") for _ in range(60)]
+    texts += [f"{'deadbeef' * 5}G{x}" for x in rest]
+    ordinary = [words(5, by) for by in "/_-" for _ in range(60)] + [words(3, "").upper() for _ in range(60)] + ["2024-01-01", "a/" * 40, ""]
+    df = table.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(texts + ordinary)], "doc_id long, text string"))
+    masked = {x["doc_id"] - 10**6: x["text"] for x in secrets.mask_secrets(df).where(f"doc_id >= {10**6}").collect()}
+    secret = [[x] for x in short + deep] + [list(x) for x in pairs] + [[x] for x in rest]
+    gone = [all(x not in masked[k] for x in found) for k, found in enumerate(secret)]
+    for at, n in ((0, 180), (180, 120), (300, 60), (360, 60)):
+        assert sum(gone[at : at + n]) >= 0.97 * n
+    assert all(masked[k].count("/") >= texts[k].count("/") - 2 for k in range(180, 300))  # the path around stays
+    assert sum(masked[len(texts) + k] == t for k, t in enumerate(ordinary)) >= 0.99 * len(ordinary)
+    for x in secrets.scan(df).where(f"doc_id >= {10**6 + 180}").where("spans <> ''").collect():
+        text = (texts + ordinary)[x["doc_id"] - 10**6]
+        assert all(0 <= int(s) < int(e) <= len(text) for s, e in (y.split(":")[1:] for y in x["spans"].split(",")))
+
+
 def test_mixing_reaches_its_targets(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     targets = {"good": 0.8, "toxic": 0.05, "junk": 0.15}

@@ -4,9 +4,9 @@ All of it is row-local DataFrame functions: no shuffle of texts, no Python.
 
 The models are first-order Markov chains over ALPHABET, one trained on random
 strings and one on ordinary identifiers, both from a labelled sample that is
-derived from words of the corpus: the words themselves and identifiers made of
-them are ordinary, digests of them in hexadecimal, base 64 and capitals with
-digits are random. A run of characters is a secret if its log-likelihood ratio,
+derived from words of the corpus: the words themselves, also in capitals, and identifiers
+and paths made of them are ordinary, digests of them in hexadecimal, base 64 and capitals with
+digits are random. A part of a run of characters is a secret if its log-likelihood ratio,
 random against ordinary, is at least MIN_RATIO in all and MIN_PER_STEP for each step.
 """
 
@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import json
 import math
+import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +28,11 @@ ACCESS, HEX = "AKIA[A-Z0-9]+", "[0-9a-f]+"
 BASE = {"assign": (ASSIGN, 2, 8), "access": (ACCESS, 0, 16), "hex": (HEX, 0, 32)}
 #: Patterns that match wherever the above pass, to skip most texts and the many short runs of hexadecimal digits.
 SIEVE = {"assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": "AKIA[A-Z0-9]{12}", "hex": "[0-9a-f]{32}"}
-RUN = "[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Runs that the models see: from the least length of an assigned secret, as the models take short names in capitals such as AKIA123 for random.
+RUN = "[A-Za-z0-9+/_-]{8,}={0,2}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 SIDE = len(ALPHABET) + 1
-MIN_RATIO, MIN_PER_STEP = 12.0, 0.6
+MIN_RATIO, MIN_PER_STEP, STRONG = 12.0, 0.6, 2.0
 SAMPLE_DOCS, SAMPLE_WORDS = 2000, 10_000
 SPANS = "array<struct<s:int,kind:int,e:int>>"
 MASK = "[SECRET]"
@@ -42,7 +45,7 @@ def training_strings(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_wor
     digest = F.sha2("w", 256)
     number = F.pmod(F.xxhash64("w"), F.lit(1000)).cast("string")
     base64 = F.base64(F.unhex(digest))
-    ordinary = [F.col("w"), F.concat_ws("_", F.lower("w"), number), F.concat(F.lower("w"), F.initcap("w"), F.lit("-"), F.lower("w"))]
+    ordinary = [F.col("w"), F.upper("w"), F.concat_ws("_", F.lower("w"), number), F.concat(F.lower("w"), F.initcap("w"), F.lit("-"), F.lower("w")), F.concat_ws("/", F.lower("w"), F.lower("w"))]
     random = [F.substring(digest, 1, 40), base64, F.substring(F.upper(F.regexp_replace(base64, "[+/=]", "")), 1, 20)]
     strings = F.array(*(F.struct(v.alias("value"), F.lit(label).alias("label")) for label, values in ((0, ordinary), (1, random)) for v in values))
     return words.select(F.explode(strings).alias("x")).select("x.value", "x.label")
@@ -60,12 +63,85 @@ def train(strings: DataFrame) -> list[float]:
     return [step(1, a, b) - step(0, a, b) if a and b else 0.0 for a in range(SIDE) for b in range(SIDE)]
 
 
-def log_ratio(value: Column, steps: list[float]) -> Column:
+def _ratios(value: Column, steps: list[float], start: dict[str, Column], then: Callable[[Column, Column, Column], dict[str, Column]]) -> Column:
+    """Folds then(acc, index of the character, log-likelihood ratio of the step to it) over the characters; acc has `last` as well."""
     ratio = F.from_json(F.lit(json.dumps(steps)), "array<double>")  # a constant: folded once
-    at = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1))))
-    start = F.struct(F.lit(0.0).cast("double").alias("sum"), F.lit(0).alias("last"))
-    end = F.aggregate(at, start, lambda acc, c: F.struct((acc["sum"] + F.get(ratio, acc["last"] * SIDE + c)).alias("sum"), c.alias("last")))
-    return end["sum"]
+    pack = lambda fields, last: F.struct(*(v.alias(k) for k, v in fields.items()), last.alias("last"))
+
+    def step(acc: Column, c: Column) -> Column:
+        c = F.instr(F.lit(ALPHABET), c)
+        return pack(then(acc, F.get(ratio, acc["last"] * SIDE + c)), c)
+
+    return F.aggregate(F.split(value, ""), pack(start, F.lit(0)), step)
+
+
+def _promising(value: Column, steps: list[float]) -> Column:
+    """Whether found_in() has anything in the run: the cheap part of it, for all runs."""
+    zero = F.lit(0.0).cast("double")
+
+    def then(acc: Column, x: Column) -> dict[str, Column]:
+        more = acc["sum"] + x
+        over = acc["over"] + (x - F.lit(MIN_PER_STEP))
+        kept = F.when(over < 0, 0.0).otherwise(more)
+        return {"sum": kept, "over": F.greatest(over, F.lit(0.0)), "best": F.greatest(acc["best"], kept), "all": acc["all"] + x}
+
+    end = _ratios(value, steps, {"sum": zero, "over": zero, "best": zero, "all": zero}, then)
+    return (end["best"] >= MIN_RATIO) | _whole(end["all"], F.length(value))
+
+
+def _whole(ratio: Column, length: Column) -> Column:
+    return (ratio >= MIN_RATIO) & (ratio >= MIN_PER_STEP * (length - 1))
+
+
+def found_in(value: Column, steps: list[float]) -> Column:
+    """Start and end of every random part of a run, each widened to the next "/" on both sides.
+
+    A part begins where the ratio for each step since its beginning would fall
+    below MIN_PER_STEP, and ends at its highest ratio; it is closed, and the next
+    begins, once it is MIN_RATIO below that. So ordinary text beside a secret
+    does not dilute it, and a run can have several. A run without such a part
+    is one if it passes as a whole.
+    """
+    zero, none = F.lit(0.0).cast("double"), F.array().cast("array<struct<s:int,e:int>>")
+    closed = lambda acc: F.when(acc["peak"] >= MIN_RATIO, F.concat(acc["out"], F.array(F.struct(acc["start"].alias("s"), acc["end"].alias("e"))))).otherwise(acc["out"])
+
+    def then(acc: Column, x: Column) -> dict[str, Column]:
+        more = acc["sum"] + x
+        new = (more < MIN_PER_STEP * (acc["i"] - acc["start"])) | (more <= acc["peak"] - MIN_RATIO)
+        high = ~new & (more > acc["peak"])
+        return {
+            "i": acc["i"] + 1,
+            "sum": F.when(new, 0.0).otherwise(more),
+            "start": F.when(new, acc["i"]).otherwise(acc["start"]),
+            "peak": F.when(new, 0.0).when(high, more).otherwise(acc["peak"]),
+            "end": F.when(new | high, acc["i"] + 1).otherwise(acc["end"]),
+            "out": F.when(new, closed(acc)).otherwise(acc["out"]),
+            "all": acc["all"] + x,
+        }
+
+    end = _ratios(value, steps, {"i": F.lit(0), "sum": zero, "start": F.lit(0), "peak": zero, "end": F.lit(0), "out": none, "all": zero}, then)
+    whole = F.array(F.struct(F.lit(0).alias("s"), F.length(value).alias("e")))
+
+    def widened(x: Column) -> Column:
+        part = F.substring(value, x["s"] + 1, x["e"] - x["s"])
+        start = x["s"] + F.length(part) - F.length(F.regexp_replace(part, "^/+", ""))
+        end = x["s"] + F.length(F.regexp_replace(part, "/+$", ""))
+        before, after = F.substring(value, F.lit(1), start), F.substring(value, end + 1, F.length(value))
+        return F.struct(F.length(F.regexp_replace(before, "[^/]*$", "")).alias("s"), (end + F.length(F.regexp_extract(after, "^[^/]*", 0))).alias("e"))
+
+    parts = F.aggregate(F.array(end), none, lambda _, x: F.when(F.size(closed(x)) > 0, closed(x)).when(_whole(x["all"], F.length(value)), whole).otherwise(none))
+    return F.array_distinct(F.transform(parts, widened))
+
+
+def _steps_above(steps: list[float], least: float) -> str:
+    """Pattern of a character from which there is a step with a ratio above `least`."""
+    after = {a: "".join(re.escape(b) for j, b in enumerate(ALPHABET, 1) if steps[i * SIDE + j] > least) for i, a in enumerate(ALPHABET, 1)}
+    return "|".join(f"{re.escape(a)}(?=[{b}])" for a, b in after.items() if b) or "(?!)"
+
+
+def _possible(value: Column, steps: list[float]) -> Column:
+    """False only where the positive ratios of a run cannot add up to MIN_RATIO: it has no step above STRONG and too few above 0."""
+    return value.rlike(_steps_above(steps, STRONG)) | (F.regexp_count(value, F.lit(_steps_above(steps, 0.0))) >= math.ceil(MIN_RATIO / STRONG))
 
 
 def _spans(text: Column, pattern: str, kind: int, matches: Column, passes: Column) -> Column:
@@ -86,9 +162,35 @@ def _long_enough(values: Column, least: int) -> Column:
     return F.transform(values, lambda v: F.length(v) >= least)
 
 
-def _random(value: Column, steps: list[float]) -> Column:
-    ratio = log_ratio(value, steps)
-    return (ratio >= MIN_RATIO) & (ratio >= MIN_PER_STEP * (F.length(value) - 1))
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of each span, so that what is left of a run stands alone; all else stays where it is."""
+
+    def step(acc: Column, x: Column) -> Column:
+        start = F.greatest(acc["at"], x["s"])
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), x["e"] - start))
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["e"] > acc["at"], more).otherwise(acc["out"]).alias("out"))
+
+    end = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    return F.concat(end["out"], F.substring(text, end["at"] + 1, F.length(text)))
+
+
+def _random(text: Column, steps: list[float]) -> Column:
+    """Spans of all random parts of the runs of a text. Each different run is judged once."""
+
+    def parts(text: Column, x: Column) -> Column:
+        value = F.substring(text, x["s"] + 1, x["e"] - x["s"])
+        return F.transform(found_in(value, steps), lambda y: F.struct((x["s"] + y["s"]).alias("s"), F.lit(len(BASE)).alias("kind"), (x["s"] + y["e"]).alias("e")))
+
+    def spans(text: Column, good: Column) -> Column:
+        runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
+        some = _spans(text, RUN, len(BASE), runs, F.transform(runs, lambda v: F.array_contains(good, v)))
+        return F.when(F.size(good) > 0, F.flatten(F.transform(some, lambda x: parts(text, x)))).otherwise(F.array().cast(SPANS))
+
+    def each(text: Column) -> Column:
+        good = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(RUN), F.lit(0))), lambda v: _possible(v, steps) & _promising(v, steps))
+        return F.get(F.transform(F.array(good), lambda g: spans(text, g)), F.lit(0))
+
+    return F.get(F.transform(F.array(text), each), F.lit(0))  # lambdas: text and good are worked out once
 
 
 def scanned(docs: DataFrame, steps: list[float]) -> DataFrame:
@@ -105,11 +207,9 @@ def scanned(docs: DataFrame, steps: list[float]) -> DataFrame:
         matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         passes = _long_enough(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), least)
         base.append(F.when(text.rlike(SIEVE[name]), _spans(text, pattern, kind, matches, passes)).otherwise(none))
-    runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
-    found = F.when(text.rlike(RUN), _spans(text, RUN, len(BASE), runs, F.transform(runs, lambda v: _random(v, steps)))).otherwise(none)
-    docs = docs.withColumn("base", F.array_sort(F.concat(*base))).withColumn("spans", found)
-    added = F.filter("spans", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return docs.withColumn("spans", F.array_sort(F.concat(F.col("base"), added)))
+    docs = docs.withColumn("base", F.array_sort(F.concat(*base)))
+    rest = F.when(F.size("base") > 0, _blanked(text, F.col("base"))).otherwise(text)
+    return docs.withColumn("spans", F.array_sort(F.concat(F.col("base"), _random(rest, steps))))
 
 
 def listed(spans: str) -> Column:
