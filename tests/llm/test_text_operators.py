@@ -316,6 +316,18 @@ def test_mixing_rates_by_brute_force(spark):
     assert (rate * n) @ p / n.sum() == pytest.approx([0.7, 0.3], abs=0.01)
 
 
+@pytest.mark.parametrize("pure", [True, False])
+def test_mixing_reaches_scarce_domains(spark, pure):
+    r = random.Random(5)
+    rare = [1.0] * 4 if pure else [0.7, 0.8, 0.9, 0.95]
+    rows = [(10, [1 - b, b]) for b in rare + [0.0 if pure else r.random() * 0.02 for _ in range(396)]]
+    members = spark.createDataFrame(rows, "n_tokens int, p array<double>")
+    _, reached = mixing.solve(members, {"a": 0.5, "b": 0.5})
+    assert all(n == pytest.approx(w, rel=0.005) for w, n in reached.values()) and not mixing.missed(reached)
+    _, capped = mixing.solve(members, {"a": 0.5, "b": 0.5}, max_rate=1.0)
+    assert list(mixing.missed(capped)) and capped["b"][1] == pytest.approx(sum(n * p[1] for n, p in rows), rel=0.1)
+
+
 def test_mixing_edge_cases(spark, docs, empty):
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     out = mixing.mix(docs, mixing.label_domains(labels), mixing.DOMAINS, max_rate=1.0)
