@@ -294,6 +294,41 @@ def test_secrets_in_parts_of_runs(spark):
         assert all(0 <= int(s) < int(e) <= len(text) for s, e in (y.split(":")[1:] for y in x["spans"].split(",")))
 
 
+def random_string(r, n):
+    return "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+
+
+def test_markov_models_on_held_out_strings(spark):
+    """Precision and recall of the models alone on strings that no training string is made of."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = random.Random(8)
+    used = {x["value"].lower() for x in secrets.training_strings(table).collect()}
+    words = sorted({w for x in table.select("text").collect() for w in re.findall(r"\b[A-Za-z]{5,12}\b", x["text"]) if w.lower() not in used})
+    plain = [by.join(r.choice(words) for _ in range(n)) for by in ("_", "-", "/") for n in (2, 3, 4) for _ in range(80)]
+    plain += [r.choice(words).capitalize() + r.choice(words).capitalize() + str(r.randrange(100)) for _ in range(80)]
+    hidden = [random_string(r, n) for n in (16, 20, 24, 32, 40) for _ in range(150)]
+    steps = secrets.train(secrets.training_strings(table))
+    df = spark.createDataFrame([(k, f"the {x} is") for k, x in enumerate(plain + hidden)], "doc_id long, text string")
+    flagged = {x["doc_id"] for x in secrets.scanned(df, steps).where(F.size("spans") > F.size("base")).select("doc_id").collect()}
+    true = sum(k >= len(plain) for k in flagged)
+    assert true >= 0.97 * len(hidden) and true >= 0.97 * len(flagged)
+
+
+def test_no_part_of_a_secret_stays(spark):
+    """Random text on both sides of 32 hexadecimal digits is one secret of 81 characters; thousands of matches in one text go as well."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    r = random.Random(6)
+    ends = [(random_string(r, 24), random_string(r, 25)) for _ in range(30)]
+    many = [(random_string(r, 12), random_string(r, 20)) for _ in range(3000)]
+    texts = [f"x {a}{'0123456789abcdef' * 2}{b} y" for a, b in ends] + [" ".join(f"token={a} é {b}" for a, b in many)]
+    df = table.unionByName(spark.createDataFrame([(10**6 + k, t) for k, t in enumerate(texts)], "doc_id long, text string"))
+    masked = {x["doc_id"] - 10**6: x["text"] for x in secrets.mask_secrets(df).where(f"doc_id >= {10**6}").collect()}
+    whole = [masked[k] for k in range(30)]
+    assert sum("hex" not in t and not any(part in t for a, b in ends for part in (a[:12], b[-12:])) for t in whole) >= 29
+    assert not any(a in masked[30] for a, _ in many) and sum(b in masked[30] for _, b in many) <= 0.05 * len(many)
+    assert masked[30].count("é") == 3000
+
+
 def test_mixing_reaches_its_targets(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     targets = {"good": 0.8, "toxic": 0.05, "junk": 0.15}

@@ -35,6 +35,9 @@ SIDE = len(ALPHABET) + 1
 MIN_RATIO, MIN_PER_STEP, STRONG = 12.0, 0.6, 2.0
 SAMPLE_DOCS, SAMPLE_WORDS = 2000, 10_000
 SPANS = "array<struct<s:int,kind:int,e:int>>"
+MATCHES = "array<struct<s:int,kind:int,e:int,value:string>>"
+#: Values that share one list while lists are built.
+BLOCK = 256
 MASK = "[SECRET]"
 
 
@@ -144,53 +147,117 @@ def _possible(value: Column, steps: list[float]) -> Column:
     return value.rlike(_steps_above(steps, STRONG)) | (F.regexp_count(value, F.lit(_steps_above(steps, 0.0))) >= math.ceil(MIN_RATIO / STRONG))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) where value is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _block_of(k: Column) -> Column:
+    return (k / BLOCK).cast("int")
+
+
+def _in_blocks(values: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str, then: Callable[[Column], Column] | None = None) -> Column:
+    """Folds step(state, x) -> (state, array of what x adds) over an array and concatenates what is added; then(state) comes last.
+
+    Appending to one long list copies it each time. Here each BLOCK of values
+    has a list of its own, and the lists are joined once, so the cost follows
+    the number of values.
+    """
+    none = F.array().cast(kind)
+    cut = lambda xs: F.transform(F.sequence(F.lit(0), _block_of(F.greatest(F.size(xs) - 1, F.lit(0)))), lambda b: F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)))
+    pack = lambda state, out: F.struct(state.alias("state"), out.alias("out"))
+
+    def one(acc: Column, x: Column) -> Column:
+        state, more = step(acc["state"], x)
+        return pack(state, F.concat(acc["out"], more))
+
+    def block(acc: Column, xs: Column) -> Column:
+        return F.aggregate(xs, pack(acc["state"], none), one, lambda end: pack(end["state"], F.concat(acc["out"], F.array(end["out"]))))
+
+    end = lambda acc: F.flatten(F.concat(acc["out"], F.array(then(acc["state"]))) if then else acc["out"])
+    return F.aggregate(once(values, cut), pack(start, F.array().cast(f"array<{kind}>")), block, end)
+
+
 def _spans(text: Column, pattern: str, kind: int, matches: Column, passes: Column) -> Column:
-    """Start and end of each match, in characters from 0, of those whose entry in `passes` is true."""
+    """Start, end and text of each match, in characters from 0, of those whose entry in `passes` is true."""
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-    parts = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(matches, F.length).alias("len"), passes.alias("ok"))
-    none = F.array().cast(SPANS)
+    parts = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), matches.alias("value"), passes.alias("ok"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s, e = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["len"]
-        found = F.concat(acc["out"], F.array(F.struct(s.alias("s"), F.lit(kind).alias("kind"), e.alias("e"))))
-        return F.struct(e.alias("at"), F.when(x["ok"], found).otherwise(acc["out"]).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        s, e = at + x["gap"], at + x["gap"] + F.length(x["value"])
+        found = F.array(F.struct(s.alias("s"), F.lit(kind).alias("kind"), e.alias("e"), x["value"].alias("value")))
+        return e, F.when(x["ok"], found).otherwise(F.array().cast(MATCHES))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+    return _in_blocks(parts, F.lit(0), step, MATCHES)
 
 
 def _long_enough(values: Column, least: int) -> Column:
     return F.transform(values, lambda v: F.length(v) >= least)
 
 
-def _blanked(text: Column, spans: Column) -> Column:
-    """The text with spaces in place of each span, so that what is left of a run stands alone; all else stays where it is."""
+def _replaced(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
+    """The text with by(number of characters) in place of each union of overlapping spans; spans are sorted.
+
+    Unions come first. The text is then cut into one part for each BLOCK of
+    them, so that finding a place counts characters of a part and not of the whole text.
+    """
+    pair = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
+    kind = "array<struct<s:int,e:int>>"
+
+    def joined(acc: Column, x: Column) -> tuple[Column, Column]:
+        apart = x["s"] >= acc["e"]
+        return F.when(apart, pair(x["s"], x["e"])).otherwise(pair(acc["s"], F.greatest(acc["e"], x["e"]))), F.when(apart & (acc["e"] > 0), F.array(acc)).otherwise(F.array().cast(kind))
+
+    last = lambda acc: F.when(acc["e"] > 0, F.array(acc)).otherwise(F.array().cast(kind))
+    unions = _in_blocks(spans, pair(F.lit(0), F.lit(0)), joined, kind, last)
+
+    def cut(text: Column, found: Column) -> Column:
+        start = lambda b: F.when(b == 0, 0).otherwise(F.get(found, b * BLOCK - 1)["e"])
 
-    def step(acc: Column, x: Column) -> Column:
-        start = F.greatest(acc["at"], x["s"])
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), x["e"] - start))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["e"] > acc["at"], more).otherwise(acc["out"]).alias("out"))
+        def part(b: Column) -> Column:
+            some, first = F.slice(found, b * BLOCK + 1, F.lit(BLOCK)), start(b)
+            piece = F.substring(text, first + 1, F.get(some, F.size(some) - 1)["e"] - first)
+            return once(F.struct(piece.alias("text"), some.alias("some"), first.alias("first")), lambda x: _pieces(x["text"], x["some"], x["first"], by))
 
-    end = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.concat(end["out"], F.substring(text, end["at"] + 1, F.length(text)))
+        blocks = F.transform(F.sequence(F.lit(0), _block_of(F.size(found) - 1)), part)
+        return F.concat(F.array_join(blocks, ""), F.substring(text, F.get(found, F.size(found) - 1)["e"] + 1, F.length(text)))
+
+    return once(F.struct(text.alias("text"), unions.alias("found")), lambda x: F.when(F.size(x["found"]) > 0, cut(x["text"], x["found"])).otherwise(x["text"]))
+
+
+def _pieces(text: Column, some: Column, first: Column, by: Callable[[Column], Column]) -> Column:
+    """A part of a text that begins at `first`, with each of its spans replaced."""
+
+    def piece(x: Column, k: Column) -> Column:
+        at = F.when(k == 0, first).otherwise(F.get(some, k - 1)["e"])
+        return F.concat(F.substring(text, at - first + 1, x["s"] - at), by(x["e"] - x["s"]))
+
+    return F.array_join(F.transform(some, piece), "")
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of each span, so that what is left of a run stands alone; all else stays where it is."""
+    return _replaced(text, spans, lambda n: F.repeat(F.lit(" "), n))
 
 
 def _random(text: Column, steps: list[float]) -> Column:
-    """Spans of all random parts of the runs of a text. Each different run is judged once."""
+    """Spans of all random parts of the runs of a text."""
 
-    def parts(text: Column, x: Column) -> Column:
-        value = F.substring(text, x["s"] + 1, x["e"] - x["s"])
-        return F.transform(found_in(value, steps), lambda y: F.struct((x["s"] + y["s"]).alias("s"), F.lit(len(BASE)).alias("kind"), (x["s"] + y["e"]).alias("e")))
+    good = lambda v: _possible(v, steps) & _promising(v, steps)
+    none = F.array().cast(SPANS)
 
-    def spans(text: Column, good: Column) -> Column:
+    def each(text: Column) -> Column:
         runs = F.regexp_extract_all(text, F.lit(RUN), F.lit(0))
-        some = _spans(text, RUN, len(BASE), runs, F.transform(runs, lambda v: F.array_contains(good, v)))
-        return F.when(F.size(good) > 0, F.flatten(F.transform(some, lambda x: parts(text, x)))).otherwise(F.array().cast(SPANS))
+        # Most texts have no such run: their different runs are looked at once.
+        return once(runs, lambda r: F.when(F.exists(F.array_distinct(r), good), once(F.struct(r.alias("runs"), F.transform(r, good).alias("good")), lambda x: found(text, x))).otherwise(none))
 
-    def each(text: Column) -> Column:
-        good = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(RUN), F.lit(0))), lambda v: _possible(v, steps) & _promising(v, steps))
-        return F.get(F.transform(F.array(good), lambda g: spans(text, g)), F.lit(0))
+    def found(text: Column, x: Column) -> Column:
+        return F.flatten(F.transform(_spans(text, RUN, len(BASE), x["runs"], x["good"]), parts))
+
+    def parts(x: Column) -> Column:
+        return F.transform(found_in(x["value"], steps), lambda y: F.struct((x["s"] + y["s"]).alias("s"), F.lit(len(BASE)).alias("kind"), (x["s"] + y["e"]).alias("e")))
 
-    return F.get(F.transform(F.array(text), each), F.lit(0))  # lambdas: text and good are worked out once
+    return once(text, each)
 
 
 def scanned(docs: DataFrame, steps: list[float]) -> DataFrame:
@@ -206,10 +273,13 @@ def scanned(docs: DataFrame, steps: list[float]) -> DataFrame:
         pattern = "[0-9a-f]{32,}" if name == "hex" else pattern
         matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         passes = _long_enough(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), least)
-        base.append(F.when(text.rlike(SIEVE[name]), _spans(text, pattern, kind, matches, passes)).otherwise(none))
+        spans = F.transform(_spans(text, pattern, kind, matches, passes), lambda x: F.struct(x["s"], x["kind"], x["e"]))
+        base.append(F.when(text.rlike(SIEVE[name]), spans).otherwise(none))
     docs = docs.withColumn("base", F.array_sort(F.concat(*base)))
-    rest = F.when(F.size("base") > 0, _blanked(text, F.col("base"))).otherwise(text)
-    return docs.withColumn("spans", F.array_sort(F.concat(F.col("base"), _random(rest, steps))))
+    # Beside patterns' spans both are judged: what they leave of a run, and the run as it stands (a secret may have digits that a pattern takes out of its middle).
+    left = F.when(F.size("base") > 0, _random(_blanked(text, F.col("base")), steps)).otherwise(none)
+    every = once(F.array_sort(F.concat(F.col("base"), _random(text, steps), left)), lambda xs: F.filter(xs, lambda x, k: (k == 0) | (x != F.get(xs, F.greatest(k - 1, F.lit(0))))))
+    return docs.withColumn("spans", every)
 
 
 def listed(spans: str) -> Column:
@@ -220,24 +290,27 @@ def listed(spans: str) -> Column:
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span, or each union of overlapping ones, replaced by MASK."""
-
-    def step(acc: Column, x: Column) -> Column:
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0))), F.when(x["s"] >= acc["at"], F.lit(MASK)).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(x["e"] > acc["at"], more).otherwise(acc["out"]).alias("out"))
-
-    end = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.concat(end["out"], F.substring(text, end["at"] + 1, F.length(text)))
+    return _replaced(text, spans, lambda n: F.when(n > 0, MASK).otherwise(""))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row; repeated rows and null doc_id are kept, an empty table gives no rows."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row.
+
+    Null text counts as empty. Very long texts are read whole, and their cost
+    follows their characters and matches. Repeated rows and null doc_id are
+    kept, an empty table gives no rows. Spans of one start are listed by kind.
+    """
     found = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(training_strings(docs)))
     n = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
     return found.select("doc_id", *(n(k).alias(f"n_{name}") for k, name in enumerate(BASE)), F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """docs with every span masked in text and n_chars, where there is one, brought up to date."""
+    """docs with every span masked in text and n_chars, where there is one, brought up to date.
+
+    No character of a span stays. Null and empty texts stay as they are, all
+    rows and columns are kept, an empty table stays empty.
+    """
     names = docs.columns
     inner = docs.select(F.struct(*names).alias("row"), "text")
     inner = scanned(inner, train(training_strings(docs)))
