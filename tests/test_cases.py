@@ -110,7 +110,9 @@ def test_dedup(spark, titles, kept):
     assert sorted(r["seq"] for r in N.dedup_articles(rows).collect()) == kept
 
 
-def test_dedup_is_the_greedy_choice(spark):
+@pytest.mark.parametrize("small", [0, 40, 500_000])
+def test_dedup_is_the_greedy_choice(spark, small):
+    """By rounds alone, by rounds and a last task, and by one task."""
     import random
 
     r = random.Random(5)
@@ -122,7 +124,32 @@ def test_dedup_is_the_greedy_choice(spark):
         a = set(t.split())
         if len(t) >= 14 and not any(len(a & set(titles[j].split())) / len(a | set(titles[j].split())) >= 0.55 for j in kept):
             kept.append(k)
-    assert sorted(x["seq"] for x in N.dedup_articles(rows.repartition(3)).collect()) == [k for k in kept if len(titles[k]) >= 14]
+    assert sorted(x["seq"] for x in N.dedup_articles(rows.repartition(3), small).collect()) == [k for k in kept if len(titles[k]) >= 14]
+
+
+def test_shared_folder(spark):
+    """A cluster without a shared folder is an error; scratch tables go when their block ends."""
+    from types import SimpleNamespace
+
+    from tidemark import shared
+
+    conf = {"spark.master": "spark://host:7077"}
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=conf.get)))
+    with shared.scratch(spark):
+        rows = shared.stored(spark.range(5), "gone")
+        assert rows.count() == 5
+        path = rows.inputFiles()[0]
+    assert not shared.fs.FileSystem.from_uri(path)[0].get_file_info(shared.file_store(path)[1]).is_file
+
+
+def test_report_ends_with_the_yield(spark):
+    rows = spark.createDataFrame([("USD", 0, "Neutral", "+0.02", "waits")], "asset string, ord int, strength string, score_text string, driver string")
+    wires = spark.createDataFrame([], "asset string, wire string")
+    yields = spark.createDataFrame([(1, 1.5), (2, 1.237)], "date int, value double")
+    text = lambda y: S.report_text(S.report(rows, wires, y)).first()[0].split("\n")
+    assert text(yields) == ["USD | Neutral | +0.02 | waits", "US 10Y Real Yield: 1.24%"]
+    assert text(yields.limit(0))[-1] == "US 10Y Real Yield: N/A"
 
 
 def test_keywords_and_wires(spark):

@@ -69,3 +69,18 @@ def test_tick_alerts(spark, tmp_path):
         q.awaitTermination(120)
         got.append({r["title"] for r in spark.read.schema("weekend date, seq long, title string").parquet(str(tmp_path / "out")).collect()})
     assert got == [{"war"}, {"war", "attack"}, {"war", "attack"}]
+
+
+def test_hourly_report_of_a_stream(spark, events, tmp_path):
+    batch, stream = events
+    macro = spark.createDataFrame([("USD", 0.2), ("Gold", -0.4)], "asset string, macro double")
+    want = {tuple(r) for r in X.hourly_report(X.hourly(X.as_articles(batch), feeds.UP, feeds.DOWN), macro).select("window", "asset", "score", "strength").collect()}
+    got = drain(X.hourly_report(X.hourly(X.as_articles(stream).withWatermark("ts", "1 hour"), feeds.UP, feeds.DOWN), macro), "report", tmp_path, "complete")
+    assert {tuple(r) for r in got.select("window", "asset", "score", "strength").collect()} == want and want
+
+
+def test_tick_alerts_at_rest(spark):
+    """The cases of the stream: one alert a tick, the first unseen of the first four."""
+    ticks = [[(1, "calm", False), (2, "war", True), (3, "attack", True)], [(4, "war", True), (5, "attack", True)], [(6, "war", True), *((7 + k, f"calm {k}", False) for k in range(3)), (11, "crisis", True)]]
+    rows = spark.createDataFrame([(k, *r) for k, tick in enumerate(ticks) for r in tick], "tick int, seq long, title string, urgent boolean").withColumn("weekend", F.lit("2024-01-06").cast("date"))
+    assert {(r["seq"], r["title"]) for r in X.first_of_ticks(rows).collect()} == {(2, "war"), (5, "attack")}

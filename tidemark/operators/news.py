@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..dims import BEARISH, BULLISH, STOP_WORDS
+from ..shared import stored
 
 #: Jaccard similarity of titles from which they are one: 11/20.
 NUMER, DENOM = 11, 20
@@ -56,66 +56,87 @@ def title_keywords(title: Column, stop: list[str] = STOP_WORDS) -> Column:
     return F.array_distinct(F.filter(words, lambda w: w.rlike("^[a-z]{3,}$") & ~w.isin(stop)))
 
 
-def near_duplicate_pairs(articles: DataFrame) -> DataFrame:
-    """a < b (seq) of distinct keyword sets with Jaccard similarity 0.55 or more, among the earliest of each equal set (H2).
+def keyword_sets(articles: DataFrame) -> DataFrame:
+    """words, seq: each different non-empty keyword set once, with its earliest article."""
+    return _keywords(articles).where(F.size("words") > 0).groupBy("words").agg(F.min("seq").alias("seq"))
+
+
+def _keywords(articles: DataFrame) -> DataFrame:
+    return articles.where(long_enough(F.col("title"))).select("seq", F.array_sort(title_keywords(F.col("title"))).alias("words"))
+
+
+def similar_sets(sets: DataFrame) -> DataFrame:
+    """a < b (seq) and jaccard of the keyword sets (words, seq) with Jaccard similarity 0.55 or more.
 
     Exact: two such sets share a token among the first s - ceil(11 s / 20) + 1
-    of each in an order of tokens, here from rare to frequent, so posting lists stay short.
+    of each in an order of tokens, here from rare to frequent, so posting lists
+    stay short. Pairs that differ too much in size, or whose first common token
+    lies so late that too few can follow, are not compared. The index is a
+    table, so that the join can split a token that very many sets share.
     """
-    sets = keyword_sets(articles)
     tokens = sets.select("seq", "words", F.explode("words").alias("token"))
     df = tokens.groupBy("token").agg(F.count("*").alias("df"))
     ranked = tokens.join(df, "token").groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     size = F.size("t")
     prefix = size - F.floor((NUMER * size + DENOM - 1) / DENOM).cast("int") + 1
-    index = ranked.select("seq", size.alias("size"), F.explode(F.slice(F.transform("t", lambda x: x["token"]), F.lit(1), prefix)).alias("token"))
-    a, b = (index.select(F.col("seq").alias(n), F.col("size").alias(f"n{n}"), "token") for n in "ab")
-    pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (DENOM * F.least("na", "nb") >= NUMER * F.greatest("na", "nb"))).select("a", "b").distinct()
+    first = F.slice(F.transform("t", lambda x: x["token"]), F.lit(1), prefix)
+    index = stored(ranked.select("seq", size.alias("size"), F.posexplode(first).alias("pos", "token")), "near-index")
+    a, b = (index.select(F.col("seq").alias(n), F.col("size").alias(f"n{n}"), F.col("pos").alias(f"p{n}"), "token") for n in "ab")
+    sizes = DENOM * F.least("na", "nb") >= NUMER * F.greatest("na", "nb")
+    rest = (NUMER + DENOM) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= NUMER * (F.col("na") + F.col("nb"))
+    pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & sizes & rest).select("a", "b").distinct()
     words = lambda n: sets.select(F.col("seq").alias(n), F.col("words").alias(f"w{n}"))
     both = pairs.join(words("a"), "a").join(words("b"), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
-    jaccard = shared / (F.size("wa") + F.size("wb") - shared)
-    return both.select("a", "b", jaccard.alias("jaccard")).where(DENOM * shared >= NUMER * (F.size("wa") + F.size("wb") - shared))
-
+    union = F.size("wa") + F.size("wb") - shared
+    return both.where(DENOM * shared >= NUMER * union).select("a", "b", (shared / union).alias("jaccard"))
 
-def keyword_sets(articles: DataFrame) -> DataFrame:
-    """words, seq: each different non-empty keyword set once, with its earliest article."""
-    sets = articles.where(long_enough(F.col("title"))).select("seq", F.array_sort(title_keywords(F.col("title"))).alias("words"))
-    return sets.where(F.size("words") > 0).groupBy("words").agg(F.min("seq").alias("seq"))
 
+def near_duplicate_pairs(articles: DataFrame) -> DataFrame:
+    """a < b (seq), jaccard of articles whose titles' keyword sets are alike (H2).
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Articles with one keyword set are a class. Rows with jaccard 1 are its
+    membership, from its earliest article to each other one; the other rows
+    are pairs between the earliest articles of two classes.
+    """
+    keywords = stored(_keywords(articles).where(F.size("words") > 0), "near-keywords")
+    sets = stored(keywords.groupBy("words").agg(F.min("seq").alias("seq")), "near-sets")
+    members = keywords.withColumnRenamed("seq", "b").join(sets.withColumnRenamed("seq", "a"), "words").where("a <> b")
+    return members.select("a", "b", F.lit(1.0).alias("jaccard")).unionByName(similar_sets(sets))
 
 
-def dedup_articles(articles: DataFrame) -> DataFrame:
+def dedup_articles(articles: DataFrame, small: int = 500_000) -> DataFrame:
     """seq of the articles kept when each, in order, goes if it is like one kept before (H3).
 
     Titles that are too short go; those without keywords always stay. In
-    rounds, an undecided article is kept once all its earlier neighbours are
-    dropped, and dropped once one is kept; each round is written to the shared folder.
+    rounds, an article without an earlier undecided neighbour is kept and its
+    neighbours go; only edges between undecided articles are carried on, each
+    round in a table. Once at most `small` edges are left, one task decides them in order.
     """
     fit = articles.where(long_enough(F.col("title"))).select("seq", F.size(title_keywords(F.col("title"))).alias("k"))
     free = fit.where("k = 0").select("seq")
-    nodes = _stored(keyword_sets(articles).select("seq"), "dedup-nodes")
-    edges = _stored(near_duplicate_pairs(articles).select("a", "b"), "dedup-edges")
-    kept = nodes.join(edges.select(F.col("b").alias("seq")), "seq", "left_anti")
-    touched = edges.select(F.col("b").alias("seq")).distinct()
-    state = _stored(touched.withColumn("kept", F.lit(None).cast("boolean")).unionByName(kept.withColumn("kept", F.lit(True))), "dedup-state")
-    while state.where("kept is null").limit(1).count():
-        before = edges.join(state.select(F.col("seq").alias("a"), F.col("kept").alias("ka")), "a").groupBy(F.col("b").alias("seq")).agg(F.max(F.coalesce("ka", F.lit(False))).alias("one"), F.bool_and(F.coalesce(~F.col("ka"), F.lit(False))).alias("none"))
-        now = F.coalesce("kept", F.when(F.col("one"), False).when(F.col("none"), True))
-        state = _stored(state.join(before, "seq", "left").select("seq", now.alias("kept")), "dedup-state")
-    return state.where("kept").select("seq").unionByName(free)
+    sets = stored(keyword_sets(articles), "dedup-sets")
+    edges = stored(similar_sets(sets).select("a", "b"), "dedup-edges")
+    dropped = None
+    while edges.count() > small:
+        kept = edges.select(F.col("a").alias("seq")).distinct().join(edges.select(F.col("b").alias("seq")), "seq", "left_anti")
+        gone = stored(edges.join(kept.withColumnRenamed("seq", "a"), "a", "left_semi").select(F.col("b").alias("seq")).distinct(), "dedup-gone")
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        # An edge from a kept article has its other end among those that go.
+        for end in "ab":
+            edges = edges.join(gone.withColumnRenamed("seq", end), end, "left_anti")
+        edges = stored(edges.select("a", "b"), "dedup-edges")
+
+    def greedy(pairs: pd.DataFrame) -> pd.DataFrame:
+        out: set[int] = set()
+        for a, b in pairs.sort_values(["b", "a"], kind="stable").itertuples(index=False):
+            if a not in out:
+                out.add(b)
+        return pd.DataFrame({"seq": sorted(out)}, dtype="int64")
+
+    last = edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pairs: greedy(pairs[["a", "b"]]), "seq long")
+    dropped = last if dropped is None else dropped.unionByName(last)
+    return sets.select("seq").join(dropped, "seq", "left_anti").unionByName(free)
 
 
 def match_events(articles: DataFrame, events: DataFrame, text: Column, key: str = "code") -> DataFrame:

@@ -31,8 +31,8 @@ def recipients(registry: DataFrame) -> DataFrame:
 
 
 def outbox(messages: DataFrame, to: DataFrame) -> DataFrame:
-    """Each message for each recipient (A6): the few messages go to the recipients, not the other way."""
-    return to.crossJoin(F.broadcast(messages))
+    """Each message for each recipient (A6). Spark sends the messages to the recipients if they are as few as they should be."""
+    return to.crossJoin(messages)
 
 
 def upsert(registry: DataFrame, changes: DataFrame) -> DataFrame:
@@ -90,10 +90,13 @@ def first_binding(logins: DataFrame) -> DataFrame:
     """logins (login_ts, login_id, key, dev_type, device_id) with bound and violation.
 
     The first non-empty device of a (key, dev_type) binds; later ones that differ are violations, empty ones too.
+    Each task sends one row a key; no key's logins are sorted, and Spark can split those of a hot key in the join.
     """
-    order = Window.partitionBy("key", "dev_type").orderBy("login_ts", "login_id").rowsBetween(Window.unboundedPreceding, 0)
-    bound = F.first(F.when(F.coalesce("device_id", F.lit("")) != "", F.col("device_id")), ignorenulls=True).over(order)
-    return logins.withColumn("bound", bound).withColumn("violation", F.coalesce(F.col("bound") != F.coalesce("device_id", F.lit("")), F.lit(False)))
+    at, there = F.struct("login_ts", "login_id"), F.coalesce("device_id", F.lit("")) != ""
+    first = logins.where(there).groupBy("key", "dev_type").agg(F.min_by("device_id", at).alias("first"), F.min(at).alias("since"))
+    rows = logins.alias("l").join(first.alias("f"), F.col("l.key").eqNullSafe(F.col("f.key")) & F.col("l.dev_type").eqNullSafe(F.col("f.dev_type")), "left").select("l.*", "first", "since")
+    rows = rows.withColumn("bound", F.when(at >= F.col("since"), F.col("first")))
+    return rows.drop("first", "since").withColumn("violation", F.coalesce(F.col("bound") != F.coalesce("device_id", F.lit("")), F.lit(False)))
 
 
 def sessions(events: DataFrame, hours: int = 120) -> DataFrame:

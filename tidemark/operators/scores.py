@@ -11,9 +11,14 @@ from .indicators import bias_label, signed
 from .news import news_points
 
 
+#: Place of the yield's line in the report, after all assets.
+LAST_LINE = 1_000_000
+
+
 def asset_points(sentiment: DataFrame, assets: DataFrame) -> DataFrame:
-    """asset, points: one row of sentiment for all assets."""
-    return assets.select("asset").crossJoin(sentiment).select("asset", news_points(F.col("delta"), F.col("n"), F.col("asset")).alias("points"))
+    """asset, points for each asset and row of sentiment (E3): one row, or one for each window. The join without a key has the few assets on one side, which Spark broadcasts by their size."""
+    keys = [c for c in sentiment.columns if c not in ("n", "delta")]
+    return sentiment.crossJoin(assets.select("asset")).select(*keys, "asset", news_points(F.col("delta"), F.col("n"), F.col("asset")).alias("points"))
 
 
 def currency_composite(macro: DataFrame, points: DataFrame) -> DataFrame:
@@ -45,11 +50,14 @@ def driver_lookup(rows: DataFrame, drivers: DataFrame, default: str) -> DataFram
     return rows.join(drivers, ["asset", "strength"], "left").withColumn("driver", F.coalesce("driver", F.lit(default)))
 
 
-def report(rows: DataFrame, wires: DataFrame) -> DataFrame:
-    """ord, line of the hourly report: asset, strength, score, driver or wire."""
+def report(rows: DataFrame, wires: DataFrame, yields: DataFrame) -> DataFrame:
+    """ord, line of the hourly report: asset, strength, score, driver or wire, and the newest real yield (date, value) last."""
     rows = rows.join(wires.select("asset", "wire"), "asset", "left")
     line = F.concat_ws(" | ", "asset", "strength", "score_text", F.coalesce(F.concat(F.lit("wire: "), F.col("wire")), F.col("driver")))
-    return rows.select("ord", line.alias("line"))
+    newest = yields.agg(F.max_by("value", "date").alias("v"))
+    shown = F.coalesce(F.format_string("%.2f%%", F.round("v", 2)), F.lit("N/A"))
+    last = newest.select(F.lit(LAST_LINE).alias("ord"), F.concat(F.lit("US 10Y Real Yield: "), F.when(F.col("v").isNull(), "N/A").otherwise(shown)).alias("line"))
+    return rows.select("ord", line.alias("line")).unionByName(last)
 
 
 def report_text(lines: DataFrame) -> DataFrame:
@@ -88,10 +96,11 @@ def event_nowcast(precursors: DataFrame, sentiment: DataFrame, events: DataFrame
 
 
 def upcoming(events: DataFrame, now: datetime.datetime) -> DataFrame:
-    """Date, days to go and countdown of each event; weekends move to Monday (G3). A few rows by nature."""
+    """events (code, template_ord, day_offset, any other columns) with date, days to go and countdown; weekends move to Monday; soonest first."""
     today = F.lit(now.date())
+    others = [c for c in events.columns if c not in ("code", "template_ord", "day_offset")]
     rows = events.withColumn("d", F.date_add(today, F.col("day_offset")))
     rows = rows.withColumn("d", F.date_add("d", F.when(F.weekday("d") == 5, 2).when(F.weekday("d") == 6, 1).otherwise(0)))
     days = F.datediff("d", today)
     countdown = F.when(days == 0, "TODAY").when(days > 0, F.concat(F.lit("In "), days.cast("string"), F.lit(" Days"))).otherwise("Released")
-    return rows.select("code", "template_ord", F.col("d").alias("event_date"), days.alias("days_away"), countdown.alias("countdown"), F.date_format("d", "EEEE, MMM dd").alias("shown")).orderBy("days_away", "event_date", "template_ord")
+    return rows.select("code", "template_ord", F.col("d").alias("event_date"), days.alias("days_away"), countdown.alias("countdown"), F.date_format("d", "EEEE, MMM dd").alias("shown"), *others).orderBy("days_away", "event_date", "template_ord")

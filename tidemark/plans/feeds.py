@@ -6,19 +6,22 @@ import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import indicators as I
 from ..operators import news as N
 from ..operators import registry as R
 from ..operators import scores as S
 from ..sources import readers
+from ..shared import stored
 from . import model as M
+from . import series
 from .model import ARTICLES, LOGINS, REGISTRY, SETS, bias, hit, literal, r6, values
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 TRIM = "regexp_replace(title, '^\\s+|\\s+$', '', 'g')"
-NOW = datetime.datetime(2026, 8, 19, 12)
+NOW = datetime.datetime(1998, 6, 19, 12)
 
 
 def query(sql: str | None):  # noqa: ANN201
@@ -31,34 +34,51 @@ def query(sql: str | None):  # noqa: ANN201
     return add
 
 
-@query(None)
+#: Documents of a channel page of the query.
+PER_PAGE = 25
+
+
+@query(f"""WITH m AS (SELECT doc_id // {PER_PAGE} AS page_id, doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER), '%Y-%m-%d') || ' 07:08' AS time, row_number() OVER (PARTITION BY doc_id // {PER_PAGE} ORDER BY doc_id DESC) AS back FROM documents)
+ SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY back) AS INTEGER) AS item_rank, text, time FROM m WHERE back <= 10 AND length(text) > 15""")
 def extract_channel_messages(spark: SparkSession, sf: str) -> DataFrame:
-    """A2 on the tables' pages: paragraphs take the place of messages, as the pages have neither those nor times."""
-    return readers.extract_messages(M.table(spark, sf, "pages"), tag="p", cls=None, need_time=False)
+    """A2: documents as messages of channel pages, written as such and taken out of the markup again."""
+    docs = M.table(spark, sf, "documents")
+    text = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    when = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")), "yyyy-MM-dd")
+    message = F.concat(F.lit('<div class="meta"><time class="time" datetime="'), when, F.lit('T07:08:09+00:00">07:08</time></div><div class="message_text js">'), text, F.lit("</div>"))
+    rows = docs.groupBy(F.expr(f"doc_id div {PER_PAGE}").alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("doc_id", message.alias("html")))).alias("m"))
+    path = M.scratch(spark, "channel-pages")
+    rows.select("page_id", F.concat(F.lit("<html><body>"), F.array_join(F.transform("m", lambda x: x["html"]), ""), F.lit("</body></html>")).alias("html")).write.parquet(path)
+    return readers.extract_messages(spark.read.parquet(path))
 
 
 ITEM = "trim(regexp_replace(substr(text, 1, 60), '[^A-Za-z]+', ' ', 'g'))"
 
 
-@query(f"""WITH i AS (SELECT doc_id, source AS feed, {ITEM} AS title FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 4)
- SELECT feed, title, substr(title || ' more', 1, 140) AS description, 'Mon, 24 Aug 2026' AS published_at FROM i""")
+@query(f"""WITH i AS (SELECT doc_id, source AS feed, {ITEM} AS title, trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) AS body FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 4)
+ SELECT feed, title, substr(body || ' more', 1, 140) AS description, 'Mon, 24 Aug 2026' AS published_at FROM i""")
 def read_rss_items(spark: SparkSession, sf: str) -> DataFrame:
-    """A3: documents written as XML items (built-in format), read back, the first four of each feed."""
+    """A3: whole documents written as XML items (built-in format), read back, the first four of each feed."""
     path = M.scratch(spark, "rss")
-    title = F.trim(F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z]+", " "))
-    items = M.table(spark, sf, "documents").select(F.col("doc_id").alias("guid"), F.col("source").alias("feed"), title.alias("title"))
-    items = items.withColumn("summary", F.concat(F.lit("<p>"), F.col("title"), F.lit("</p> more"))).withColumn("pubDate", F.lit("Mon, 24 Aug 2026 10:00:00 GMT"))
-    items.write.format("xml").option("rootTag", "rss").option("rowTag", "item").save(path)
+    letters = lambda text: F.trim(F.regexp_replace(text, "[^A-Za-z]+", " "))
+    items = M.table(spark, sf, "documents").select(F.col("doc_id").alias("guid"), F.col("source").alias("feed"), letters(F.substring("text", 1, 60)).alias("title"), F.concat(F.lit("<p>"), letters(F.col("text")), F.lit("</p> more")).alias("summary"))
+    items.withColumn("pubDate", F.lit("Mon, 24 Aug 2026 10:00:00 GMT")).write.format("xml").option("rootTag", "rss").option("rowTag", "item").save(path)
     rows = readers.read_rss_items(spark, path, feed="feed", order="guid", extra="guid long, feed string")
     return rows.select("feed", "title", "description", "published_at")
 
 
-@query(f"""WITH {ARTICLES}, r AS (SELECT feed, title, description, row_number() OVER (PARTITION BY feed ORDER BY seq) AS item_rank FROM articles)
- SELECT 0 AS feed_rank, item_rank, title, description, feed AS published_at FROM r WHERE feed = 'src1' AND item_rank <= 10 UNION ALL SELECT 1, item_rank, title, description, feed FROM r WHERE feed = 'src2' AND item_rank <= 4""")
+#: Feeds, in the order of their names, that are channels; the others are RSS feeds.
+CHANNELS = 4
+
+
+@query(f"""WITH {ARTICLES}, f AS (SELECT feed, row_number() OVER (ORDER BY feed) - 1 AS feed_rank FROM (SELECT DISTINCT feed FROM articles)), r AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY seq) AS item_rank FROM articles)
+ SELECT CAST(feed_rank AS INTEGER) AS feed_rank, item_rank, title, description, feed AS published_at FROM r JOIN f USING (feed) WHERE item_rank <= CASE WHEN feed_rank < {CHANNELS} THEN 10 ELSE 4 END""")
 def union_feeds(spark: SparkSession, sf: str) -> DataFrame:
-    rows = M.articles(spark, sf).withColumnRenamed("feed", "published_at")
-    feeds = [N.top_per_key(rows.where(F.col("published_at") == f), "published_at", "seq", k).withColumnRenamed("rank", "item_rank") for f, k in (("src1", 10), ("src2", 4))]
-    return readers.union_feeds(feeds)
+    """A4: the first items of every source; the window over the distinct sources has a row for each."""
+    rows = M.articles(spark, sf).withColumn("published_at", F.col("feed"))
+    rank = F.row_number().over(Window.orderBy("feed")) - 1
+    feeds = rows.select("feed").distinct().select("feed", rank.alias("feed_rank")).withColumn("keep", F.when(F.col("feed_rank") < CHANNELS, 10).otherwise(4))
+    return readers.union_feeds(rows, feeds)
 
 
 @query(f"WITH {REGISTRY} SELECT * FROM registry")
@@ -69,6 +89,22 @@ def read_registry(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_registry(spark, path, multi_line=False)
 
 
+SESSION_TIME = "%Y-%m-%d %H:%M:%S"
+
+
+@query(f"""WITH s AS (SELECT user_id, min(event_id) AS first, max(ts) AS last FROM events GROUP BY user_id)
+ SELECT 'dev' || user_id AS device_id, 'K' || (first % 97) AS key, CASE WHEN user_id % 2 = 0 THEN 'PC' ELSE 'Mobile' END AS dev_type, strftime(last, '{SESSION_TIME}') AS last_active, 'user "' || user_id || '"' AS user_name, CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'Lifetime' END AS expiry_info, user_id % 5 = 0 AS is_admin FROM s""")
+def read_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """A5: session maps, an object of a hundred devices a line, written as JSON and read again."""
+    u = F.col("user_id")
+    rows = M.table(spark, sf, "events").groupBy("user_id").agg(F.min("event_id").alias("first"), F.max("ts").alias("last"))
+    session = F.struct(F.concat(F.lit("K"), (F.col("first") % 97).cast("string")).alias("key"), F.when(u % 2 == 0, "PC").otherwise("Mobile").alias("dev_type"), F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last_active"), F.concat(F.lit('user "'), u.cast("string"), F.lit('"')).alias("user_name"), F.when(u % 3 != 0, "Lifetime").alias("expiry_info"), (u % 5 == 0).alias("is_admin"))
+    entries = rows.select(F.expr("user_id div 100").alias("block"), F.struct(F.concat(F.lit("dev"), u.cast("string")), session).alias("e"))
+    path = M.scratch(spark, "sessions")
+    entries.groupBy("block").agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value")).select("value").write.text(path)
+    return readers.read_sessions(spark, path, whole=False)
+
+
 @query(f"WITH {REGISTRY}, a AS (SELECT DISTINCT trim(telegram_id) AS chat_id FROM registry WHERE status = 'Active' AND trim(telegram_id) <> '') SELECT chat_id, kind, message FROM a CROSS JOIN (VALUES ('report', 'hourly'), ('alert', 'weekend')) m(kind, message)")
 def write_outbox(spark: SparkSession, sf: str) -> DataFrame:
     """One row for each recipient and message, written by kind and read again."""
@@ -134,7 +170,7 @@ def title_keywords(spark: SparkSession, sf: str) -> DataFrame:
     return M.articles(spark, sf).where(N.long_enough(F.col("title"))).select("seq", F.array_sort(N.title_keywords(F.col("title"))).alias("words"))
 
 
-@query(f"WITH {ARTICLES}, {SETS} SELECT a, b, {r6('jaccard')} AS jaccard FROM near")
+@query(f"WITH {ARTICLES}, {SETS} SELECT a, b, {r6('jaccard')} AS jaccard FROM near UNION ALL SELECT s.seq, k.seq, CAST(1 AS DOUBLE) FROM kw k JOIN sets s USING (words) WHERE k.seq <> s.seq")
 def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return N.near_duplicate_pairs(M.articles(spark, sf)).select("a", "b", (F.round("jaccard", 6) + 0.0).alias("jaccard"))
 
@@ -155,14 +191,22 @@ def top_wires(spark: SparkSession, sf: str) -> DataFrame:
     return articles.join(N.dedup_articles(articles), "seq").orderBy("seq").limit(6).select("seq", "title")
 
 
-CALENDAR = [(c, k, d) for c, _, d, k, _ in M.EVENT_WORDS]
-
-
-@query(f"""WITH {values('c', 'code, template_ord, day_offset', CALENDAR)}, e AS (SELECT code, template_ord, DATE '2026-08-19' + day_offset AS d FROM c), m AS (SELECT code, template_ord, d + CASE isodow(d) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS d FROM e)
- SELECT code, template_ord, CAST(d AS DATE) AS event_date, CAST(CAST(d AS DATE) - DATE '2026-08-19' AS INTEGER) AS days_away, CASE WHEN d = DATE '2026-08-19' THEN 'TODAY' WHEN d > DATE '2026-08-19' THEN 'In ' || (CAST(d AS DATE) - DATE '2026-08-19') || ' Days' ELSE 'Released' END AS countdown, strftime(d, '%A, %b %d') AS shown FROM m""")
+@query(f"""WITH e AS (SELECT *, CAST(o_orderdate AS DATE) AS d FROM orders), m AS (SELECT *, CAST(d + CASE isodow(d) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS DATE) AS day FROM e)
+ SELECT 'O' || o_orderkey AS code, o_orderkey AS template_ord, day AS event_date, CAST(day - DATE '{NOW:%Y-%m-%d}' AS INTEGER) AS days_away, CASE WHEN day = DATE '{NOW:%Y-%m-%d}' THEN 'TODAY' WHEN day > DATE '{NOW:%Y-%m-%d}' THEN 'In ' || CAST(day - DATE '{NOW:%Y-%m-%d}' AS INTEGER) || ' Days' ELSE 'Released' END AS countdown, strftime(day, '%A, %b %d') AS shown,
+ lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':30' AS time_str, (o_custkey % 50) || '%' AS forecast_str, CASE o_orderstatus WHEN 'P' THEN '—' ELSE o_orderstatus END AS prev_str, o_orderpriority AS consensus_bias FROM m""")
 def upcoming_events(spark: SparkSession, sf: str) -> DataFrame:
-    """G3 over the calendar template; its rows are the template's."""
-    return S.upcoming(M.rows(spark, CALENDAR, "code string, template_ord int, day_offset int"), NOW)
+    """Orders as a calendar, some of it past, with the columns that its template carries."""
+    hour = F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0")
+    rows = M.table(spark, sf, "orders").select(
+        F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("code"),
+        F.col("o_orderkey").alias("template_ord"),
+        F.datediff(F.to_date("o_orderdate"), F.lit(NOW.date())).alias("day_offset"),
+        F.concat(hour, F.lit(":30")).alias("time_str"),
+        F.concat((F.col("o_custkey") % 50).cast("string"), F.lit("%")).alias("forecast_str"),
+        F.when(F.col("o_orderstatus") == "P", "—").otherwise(F.col("o_orderstatus")).alias("prev_str"),
+        F.col("o_orderpriority").alias("consensus_bias"),
+    )
+    return S.upcoming(rows, NOW)
 
 
 # Registry.
@@ -267,30 +311,48 @@ EVENT_TEXT = "event_type || ' ' || props"
 UP, DOWN, URGENT = ["click", "purchase"], ["error"], ["error", '"k": 7']
 
 
-@query(f"SELECT strftime(date_trunc('hour', {LOCAL}), '%Y-%m-%d %H:%M:%S') AS hour, count(*) AS n, {r6(f'0.04 * (sum(CAST({hit(EVENT_TEXT, UP)} AS INTEGER)) - sum(CAST({hit(EVENT_TEXT, DOWN)} AS INTEGER)))')} AS delta FROM events WHERE isodow({LOCAL}) <= 5 GROUP BY 1")
+MACRO = f"{series.TABLE}, {values('map', 'asset, currency', series.MAP)}, am AS (SELECT asset, macro FROM map JOIN macro USING (currency))"
+STREAM_DELTA = "0.04 * (sum(CAST({up} AS INTEGER)) - sum(CAST({down} AS INTEGER)))"
+
+
+def _delta(text: str) -> str:
+    return STREAM_DELTA.format(up=hit(text, UP), down=hit(text, DOWN))
+
+
+@query(f"""WITH {MACRO}, h AS (SELECT date_trunc('hour', {LOCAL}) AS hour, count(*) AS n, {_delta(EVENT_TEXT)} AS delta FROM events WHERE isodow({LOCAL}) <= 5 GROUP BY 1),
+ p AS (SELECT hour, asset, macro, {series.POINT} AS points FROM h CROSS JOIN am), s AS (SELECT hour, asset, round(0.5 * macro + 0.5 * (points / 0.5), 12) AS score FROM p)
+ SELECT strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, asset, {r6('score')} AS score, {bias('score')} AS strength FROM s""")
 def stream_hourly_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Batch twin of J1: one row for each clock hour of a weekday."""
-    from ..streaming.streams import as_articles, hourly
+    """Batch twin of J1: the report of each clock hour of a weekday, a row for each asset."""
+    from ..streaming import streams as X
 
-    rows = hourly(as_articles(M.table(spark, sf, "events")), UP, DOWN)
-    return rows.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "n", (F.round("delta", 6) + 0.0).alias("delta"))
+    windows = X.hourly(X.as_articles(M.table(spark, sf, "events")), UP, DOWN)
+    macro = M.rows(spark, series.MAP, "asset string, currency string").join(I.macro_score(series._table(spark, sf)), "currency").select("asset", "macro")
+    rows = X.hourly_report(windows, stored(macro, "hourly-macro"))
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "asset", (F.round("score", 6) + 0.0).alias("score"), "strength")
 
 
-@query(f"""WITH e AS (SELECT *, {LOCAL} AS l FROM events), w AS (SELECT event_id, {EVENT_TEXT} AS title, CAST(date_trunc('day', l) AS DATE) - CAST(isodow(l) - 6 AS INTEGER) AS weekend, l FROM e WHERE isodow(l) >= 6 AND {hit(EVENT_TEXT, URGENT)})
- SELECT CAST(weekend AS DATE) AS weekend, title, min(event_id) AS event_id FROM w GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE e AS (SELECT event_id, {EVENT_TEXT} AS title, {LOCAL} AS l FROM events WHERE isodow({LOCAL}) >= 6),
+ r AS (SELECT *, CAST(CAST(date_trunc('day', l) AS DATE) - CAST(isodow(l) - 6 AS INTEGER) AS DATE) AS weekend, date_trunc('hour', l) AS tick FROM e QUALIFY row_number() OVER (PARTITION BY date_trunc('hour', l) ORDER BY event_id) <= 4),
+ t AS MATERIALIZED (SELECT weekend, tick, list({{'title': title, 'event_id': event_id}} ORDER BY event_id) AS c, row_number() OVER (PARTITION BY weekend ORDER BY tick) AS i FROM r WHERE {hit('title', URGENT)} GROUP BY weekend, tick),
+ f AS (SELECT DISTINCT weekend, CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS seen, CAST(NULL AS STRUCT(title VARCHAR, event_id BIGINT)) AS pick FROM t
+ UNION ALL SELECT t.weekend, t.i, CASE WHEN len(list_filter(t.c, lambda x: NOT list_contains(f.seen, x.title))) > 0 THEN list_append(f.seen, list_filter(t.c, lambda x: NOT list_contains(f.seen, x.title))[1].title) ELSE f.seen END, list_filter(t.c, lambda x: NOT list_contains(f.seen, x.title))[1] FROM f JOIN t ON t.weekend = f.weekend AND t.i = f.i + 1)
+ SELECT weekend, pick.event_id AS event_id, pick.title AS title FROM f WHERE pick IS NOT NULL""")
 def stream_weekend_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    """Batch twin of J2: each urgent title once a weekend, by its first event."""
-    from ..streaming.streams import as_articles, urgent
+    """Batch twin of J2: an hour is a tick; of its first four articles at most one is alerted, each title once a weekend."""
+    from ..streaming import streams as X
 
-    rows = urgent(as_articles(M.table(spark, sf, "events")), URGENT)
-    return rows.groupBy("weekend", "title").agg(F.min("event_id").alias("event_id"))
+    rows = X.as_articles(M.table(spark, sf, "events")).where(F.weekday("ts") >= 5)
+    rows = rows.select(F.date_sub(F.to_date("ts"), F.weekday("ts") - 5).alias("weekend"), F.date_trunc("hour", "ts").alias("tick"), F.col("event_id").alias("seq"), "title", N.any_word(F.lower("title"), URGENT).alias("urgent"))
+    return X.first_of_ticks(rows).withColumnRenamed("seq", "event_id")
 
 
-@query(f"""WITH e AS (SELECT {LOCAL} AS l, {EVENT_TEXT} AS t FROM events), w AS (SELECT time_bucket(INTERVAL 5 MINUTES, l) - to_minutes(5 * k) AS s, l, t FROM e, range(12) r(k))
- SELECT epoch_us(s) AS start, count(*) AS n, {r6(f'0.04 * (sum(CAST({hit("t", UP)} AS INTEGER)) - sum(CAST({hit("t", DOWN)} AS INTEGER)))')} AS delta FROM w GROUP BY 1""")
+@query(f"""WITH {values('assets', 'asset', series.ASSET_ROWS)}, e AS (SELECT {LOCAL} AS l, {EVENT_TEXT} AS t FROM events), w AS (SELECT time_bucket(INTERVAL 5 MINUTES, l) - to_minutes(5 * k) AS s, l, t FROM e, range(12) r(k)),
+ d AS (SELECT epoch_us(s) AS start, count(*) AS n, {_delta("t")} AS delta FROM w GROUP BY 1)
+ SELECT start, asset, {r6(series.POINT)} AS points FROM d CROSS JOIN assets""")
 def stream_sentiment(spark: SparkSession, sf: str) -> DataFrame:
-    """Batch twin of J3: sliding windows of an hour every five minutes."""
-    from ..streaming.streams import as_articles, sliding
+    """Batch twin of J3: points of each asset in sliding windows of an hour every five minutes."""
+    from ..streaming import streams as X
 
-    rows = sliding(as_articles(M.table(spark, sf, "events")), UP, DOWN)
-    return rows.select(F.unix_micros("window.start").alias("start"), "n", (F.round("delta", 6) + 0.0).alias("delta"))
+    windows = X.sliding(X.as_articles(M.table(spark, sf, "events")), UP, DOWN).select(F.unix_micros("window.start").alias("start"), "n", "delta")
+    return S.asset_points(windows, M.rows(spark, series.ASSET_ROWS, "asset string")).select("start", "asset", (F.round("points", 6) + 0.0).alias("points"))

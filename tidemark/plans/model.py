@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..dims import STOP_WORDS
+from ..shared import fresh_path
 
 #: Word lists that do occur in the tables' prose.
 BULL, BEAR, URGENT = ["oil", "eau"], ["fed", "ing"], ["oil", "fed"]
@@ -20,19 +19,8 @@ DRIVERS = [("Gold", "Neutral", "gold waits"), ("USD", "Neutral", "dollar waits")
 TODAY, SALT, PREFIX = "2024-07-01", "pepper", "TIDE"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again."""
-    from ..operators.news import _stored
-
-    return _stored(df, name)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        stored(spark.range(1), "first")
-        base = spark.conf.get("spark.checkpoint.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return fresh_path(spark, name)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -63,7 +51,7 @@ def dimension(spark: SparkSession, sf: str) -> DataFrame:
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.news import shorten
 
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), shorten(F.col("text"), 110).alias("title"), F.substring("text", 1, 140).alias("description"), F.col("source").alias("feed"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), shorten(F.col("text"), 110).alias("title"), F.col("text").alias("description"), F.col("source").alias("feed"))
 
 
 def registry(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,7 +102,7 @@ OBS = "obs AS (SELECT user_id AS series_id, ts AS date, value FROM events)"
 RAW = "raw AS (SELECT user_id AS series_id, ts AS date, CASE WHEN event_type = 'error' THEN '.' ELSE CAST(value AS VARCHAR) END AS value FROM events)"
 MONTHLY = "monthly AS (SELECT c_nationkey AS series_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
 DIM = "dim AS (SELECT 'R' || n_regionkey AS currency, n_name AS indicator, n_nationkey AS series_id, ['inflation','labor_pos','labor_neg','growth','rate'][n_nationkey % 5 + 1] AS cat, CAST(1 + 0.25 * (n_nationkey % 4) AS DOUBLE) AS weight, n_nationkey % 2 = 0 AS is_key, n_nationkey AS key_ord FROM nation)"
-ARTICLES = "articles AS (SELECT doc_id AS seq, CASE WHEN length(text) > 110 THEN substr(text, 1, 110) || '...' ELSE text END AS title, substr(text, 1, 140) AS description, source AS feed FROM documents)"
+ARTICLES = "articles AS (SELECT doc_id AS seq, CASE WHEN length(text) > 110 THEN substr(text, 1, 110) || '...' ELSE text END AS title, text AS description, source AS feed FROM documents)"
 REGISTRY = """registry AS (SELECT c_name AS client_name, 'K' || c_custkey AS key, CASE WHEN c_nationkey % 3 = 0 THEN ' ' ELSE ' ' || c_nationkey END AS telegram_id, '30' AS duration,
  strftime(DATE '2023-01-01' + CAST(c_custkey % 365 AS INTEGER), '%Y-%m-%d') AS created_at,
  CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Lifetime' ELSE strftime(DATE '2024-01-01' + CAST(c_custkey % 730 AS INTEGER), '%Y-%m-%d') END AS expires_at,

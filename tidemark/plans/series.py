@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import indicators as I
 from ..operators import news as N
 from ..operators import scores as S
+from ..shared import stored
 from ..sources import readers
 from . import model as M
 from .model import ARTICLES, DIM, MONTHLY, OBS, RAW, bias, hit, metrics, r6
@@ -161,6 +162,7 @@ def oil_proxy(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {MONTHLY} SELECT a.date, {r6('a.value - b.value')} AS spread, (SELECT {r6('arg_max(value, date) FILTER (WHERE series_id = 6) - arg_max(value, date) FILTER (WHERE series_id = 5)')} FROM monthly) AS last_spread FROM monthly a JOIN monthly b ON a.date = b.date AND a.series_id = 6 AND b.series_id = 5")
 def brent_wti_spread(spark: SparkSession, sf: str) -> DataFrame:
     obs = M.monthly(spark, sf)
+    # The join without a key adds one row, the last spread, to each.
     return I.aligned_spread(obs, 6, 5).crossJoin(I.last_spread(obs, 6, 5).withColumnRenamed("spread", "last_spread")).select("date", r("spread"), r("last_spread"))
 
 
@@ -202,15 +204,15 @@ GOLD = f"yobs AS (SELECT 'ry' AS series_id, date, value FROM ry), {metrics('yobs
 OIL = f"wobs AS (SELECT 'wti' AS series_id, date, value FROM picked WHERE role = 'wti'), {metrics('wobs', 'wt')}, oil AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM wobs) THEN 0.5 * coalesce((SELECT score FROM wt_last), 0) + 0.5 * (points / 0.5) ELSE 0.12 END AS composite FROM points WHERE asset = 'Oil')"
 
 
-def _gold(spark: SparkSession, sf: str, obs: DataFrame | None = None, points: DataFrame | None = None) -> DataFrame:
-    y = I.latest(_yields(spark, sf, obs).withColumn("series_id", F.lit("ry"))).select("score", F.lit(True).alias("has_data"))
-    usd = I.macro_score(_table(spark, sf, obs)).where("currency = 'R0'").select("macro")
-    return S.gold_composite(y, usd, (points or _points(spark, sf)).where("asset = 'Gold'"))
+def _gold(spark: SparkSession, sf: str) -> DataFrame:
+    y = I.latest(_yields(spark, sf).withColumn("series_id", F.lit("ry"))).select("score", F.lit(True).alias("has_data"))
+    usd = I.macro_score(_table(spark, sf)).where("currency = 'R0'").select("macro")
+    return S.gold_composite(y, usd, _points(spark, sf).where("asset = 'Gold'"))
 
 
-def _oil(spark: SparkSession, sf: str, obs: DataFrame | None = None, points: DataFrame | None = None) -> DataFrame:
-    w = _fallback(spark, sf, obs).where("role = 'wti'").select(F.lit("wti").alias("series_id"), "date", "value")
-    return S.oil_composite(I.latest(w).select("score", F.lit(True).alias("has_data")), (points or _points(spark, sf)).where("asset = 'Oil'"))
+def _oil(spark: SparkSession, sf: str) -> DataFrame:
+    w = _fallback(spark, sf).where("role = 'wti'").select(F.lit("wti").alias("series_id"), "date", "value")
+    return S.oil_composite(I.latest(w).select("score", F.lit(True).alias("has_data")), _points(spark, sf).where("asset = 'Oil'"))
 
 
 @query(f"WITH {TABLE}, {POINTS}, {YIELDS}, {GOLD} SELECT {r6('composite')} AS composite FROM gold")
@@ -325,28 +327,44 @@ def _assets(spark: SparkSession) -> DataFrame:
     return M.rows(spark, WIRE_ROWS, "asset string, ord int, keywords array<string>")
 
 
-def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    """asset, score. Several branches need the monthly series and the news points: both are written once."""
-    obs, points = M.stored(M.monthly(spark, sf), "monthly"), M.stored(_points(spark, sf), "points")
-    mapped = M.rows(spark, MAP, "asset string, currency string").join(I.macro_score(_table(spark, sf, obs)), "currency").select(F.col("asset").alias("currency"), "macro")
+def _roles(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The newest metrics of all that the report needs, from one pass: the monthly series, the real yield (ry) and the oil price (wti); and the real yield."""
+    obs = stored(M.monthly(spark, sf), "monthly")
+    yields = stored(_yields(spark, sf, obs).select("date", "value"), "yields")
+    wti = _fallback(spark, sf, obs).where("role = 'wti'")
+    each = obs.select(F.col("series_id").cast("string").alias("series_id"), "date", "value")
+    for name, rows in (("ry", yields), ("wti", wti)):
+        each = each.unionByName(rows.select(F.lit(name).alias("series_id"), "date", "value"))
+    return stored(I.latest(each), "newest"), yields
+
+
+def _scores(spark: SparkSession, sf: str, newest: DataFrame) -> DataFrame:
+    """asset, score."""
+    points = stored(_points(spark, sf), "points")
+    dim = M.dimension(spark, sf).withColumn("series_id", F.col("series_id").cast("string"))
+    macro = stored(I.macro_score(I.indicator_table(newest, dim)), "macro")
+    mapped = M.rows(spark, MAP, "asset string, currency string").join(macro, "currency").select(F.col("asset").alias("currency"), "macro")
     both = S.currency_composite(mapped, points).select(F.col("currency").alias("asset"), F.col("composite").alias("score"))
-    for name, one in (("Gold", _gold(spark, sf, obs, points)), ("Oil", _oil(spark, sf, obs, points))):
-        both = both.unionByName(one.select(F.lit(name).alias("asset"), F.col("composite").alias("score")))
+    one = lambda name: newest.where(F.col("series_id") == name).select("score", F.lit(True).alias("has_data"))
+    gold = S.gold_composite(one("ry"), macro.where("currency = 'R0'").select("macro"), points.where("asset = 'Gold'"))
+    oil = S.oil_composite(one("wti"), points.where("asset = 'Oil'"))
+    for name, rows in (("Gold", gold), ("Oil", oil)):
+        both = both.unionByName(rows.select(F.lit(name).alias("asset"), F.col("composite").alias("score")))
     return both.withColumn("score", F.round("score", 12))
 
 
-def _drivers(spark: SparkSession, sf: str) -> DataFrame:
-    return S.driver_lookup(S.report_rows(_scores(spark, sf), _assets(spark)), M.rows(spark, M.DRIVERS, "asset string, strength string, driver string"), "mixed signals")
+def _drivers(spark: SparkSession, sf: str, newest: DataFrame) -> DataFrame:
+    return S.driver_lookup(S.report_rows(_scores(spark, sf, newest), _assets(spark)), M.rows(spark, M.DRIVERS, "asset string, strength string, driver string"), "mixed signals")
 
 
 @query(f"WITH {SCORES} SELECT asset, ord, strength, score_text, note FROM rep")
 def asset_report_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return S.report_rows(_scores(spark, sf), _assets(spark))
+    return S.report_rows(_scores(spark, sf, _roles(spark, sf)[0]), _assets(spark))
 
 
 @query(f"WITH {SCORES} SELECT asset, strength, driver FROM drv")
 def driver_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return _drivers(spark, sf).select("asset", "strength", "driver")
+    return _drivers(spark, sf, _roles(spark, sf)[0]).select("asset", "strength", "driver")
 
 
 @query(f"WITH {SCORES} SELECT asset, seq, wire FROM wire")
@@ -354,6 +372,8 @@ def first_wire_per_asset(spark: SparkSession, sf: str) -> DataFrame:
     return N.first_wires(M.articles(spark, sf), _assets(spark))
 
 
-@query(f"WITH {SCORES} SELECT string_agg(asset || ' | ' || strength || ' | ' || score_text || ' | ' || coalesce('wire: ' || wire, driver), chr(10) ORDER BY ord) AS report FROM drv LEFT JOIN wire USING (asset)")
+@query(f"""WITH {SCORES}, newest_yield AS (SELECT arg_max(value, date) AS v FROM ry)
+ SELECT string_agg(asset || ' | ' || strength || ' | ' || score_text || ' | ' || coalesce('wire: ' || wire, driver), chr(10) ORDER BY ord) || chr(10) || 'US 10Y Real Yield: ' || (SELECT coalesce(printf('%.2f%%', round(v, 2)), 'N/A') FROM newest_yield) AS report FROM drv LEFT JOIN wire USING (asset)""")
 def hourly_report(spark: SparkSession, sf: str) -> DataFrame:
-    return S.report_text(S.report(_drivers(spark, sf), N.first_wires(M.articles(spark, sf), _assets(spark))))
+    newest, yields = _roles(spark, sf)
+    return S.report_text(S.report(_drivers(spark, sf, newest), N.first_wires(M.articles(spark, sf), _assets(spark)), yields))

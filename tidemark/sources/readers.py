@@ -39,22 +39,23 @@ def read_registry(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     return spark.read.schema(REGISTRY).option("multiLine", multi_line).json(path)
 
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """device_id and the session's fields from one JSON object keyed by device (A5)."""
-    text = spark.read.option("wholetext", True).text(path)
+def read_sessions(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """device_id and the session's fields from JSON objects keyed by device: one in each file or, with whole=False, in each line (A5)."""
+    text = spark.read.option("wholetext", whole).text(path)
     return text.select(F.explode(F.from_json("value", f"map<string,{SESSION}>")).alias("device_id", "s")).select("device_id", "s.*")
 
 
-def union_feeds(feeds: list[DataFrame]) -> DataFrame:
-    """Channels, then RSS feeds, in the given order, as one table with the order key (feed_rank, item_rank) (A4).
+def union_feeds(items: DataFrame, feeds: DataFrame) -> DataFrame:
+    """The first `keep` items (feed, seq, title, description, published_at) of each feed as one table with the order key (feed_rank, item_rank) (A4).
 
-    No dense number: that would need all rows in one task.
+    feeds (feed, feed_rank, keep) lists channels, then RSS feeds. No dense
+    number: that would need all rows in one task.
     """
-    out = None
-    for rank, feed in enumerate(feeds):
-        feed = feed.select(F.lit(rank).alias("feed_rank"), "item_rank", "title", "description", "published_at")
-        out = feed if out is None else out.unionByName(feed)
-    return out
+    from ..operators.news import top_per_key
+
+    most = feeds.agg(F.max("keep")).first()[0] or 0
+    rows = top_per_key(items, "feed", "seq", most).withColumnRenamed("rank", "item_rank").join(feeds, "feed")
+    return rows.where("item_rank <= keep").select("feed_rank", "item_rank", "title", "description", "published_at")
 
 
 class _Texts(HTMLParser):

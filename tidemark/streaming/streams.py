@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from pyspark.sql.window import Window
+
 from ..dims import BEARISH, BULLISH, EMERGENCY
+from ..operators.indicators import bias_label
 from ..operators.news import any_word
+from ..operators.scores import asset_points
 
 #: Local time is a fixed offset from UTC.
 OFFSET = "INTERVAL 3 HOURS"
@@ -36,10 +40,17 @@ def hourly(articles: DataFrame, bull: list[str] = BULLISH, bear: list[str] = BEA
 
 
 def sliding(articles: DataFrame, bull: list[str] = BULLISH, bear: list[str] = BEARISH) -> DataFrame:
-    """window, n, delta for each hour that starts every five minutes."""
+    """window, n, delta for each hour that starts every five minutes (J3); scores.asset_points() makes points by asset of it."""
     return articles.groupBy(F.window("ts", "1 hour", "5 minutes")).agg(*_delta(bull, bear))
 
 
+def hourly_report(windows: DataFrame, macro: DataFrame) -> DataFrame:
+    """window, asset, score, strength: the report of each hour (J1), half the asset's macro score (asset, macro), half the hour's news."""
+    rows = asset_points(windows, macro).join(macro, "asset")
+    score = F.round(0.5 * F.col("macro") + 0.5 * (F.col("points") / 0.5), 12)
+    return rows.select("window", "asset", score.alias("score"), bias_label(score).alias("strength"))
+
+
 def urgent(articles: DataFrame, words: list[str] = EMERGENCY) -> DataFrame:
     """Weekend articles with an emergency word, with the Saturday of their weekend."""
     rows = articles.where((F.weekday("ts") >= 5) & any_word(F.lower("title"), words))
@@ -51,6 +62,26 @@ def weekend_alerts(articles: DataFrame, words: list[str] = EMERGENCY) -> DataFra
     return urgent(articles, words).withWatermark("ts", "2 days").dropDuplicatesWithinWatermark(["weekend", "title"])
 
 
+def first_of_ticks(articles: DataFrame, top: int = 4) -> DataFrame:
+    """weekend, seq, title: at most one alert a tick (J2), of articles (weekend, tick, seq, title, urgent) at rest.
+
+    It is the first urgent title among the first `top` articles of the tick
+    that has not been alerted that weekend. A task takes a weekend, whose ticks bound its rows.
+    """
+    rows = articles.withColumn("rank", F.row_number().over(Window.partitionBy("weekend", "tick").orderBy("seq"))).where((F.col("rank") <= top) & F.col("urgent"))
+
+    def alerts(weekend: pd.DataFrame) -> pd.DataFrame:
+        seen, out, done = set(), [], None
+        for r in weekend.sort_values(["tick", "seq"], kind="stable").itertuples():
+            if r.tick != done and r.title not in seen:
+                seen.add(r.title)
+                out.append((r.weekend, r.seq, r.title))
+                done = r.tick
+        return pd.DataFrame(out, columns=["weekend", "seq", "title"])
+
+    return rows.select("weekend", "tick", "seq", "title").groupBy("weekend").applyInPandas(alerts, "weekend date, seq long, title string")
+
+
 class TickAlerts(StatefulProcessor):
     """At most one alert a tick: the first unseen of the first few articles, titles remembered until the weekend ends."""
 
