@@ -2,40 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import file_store, fresh_path, scratch, shared_dir, stored
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    import tempfile
-
-    own = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+__all__ = ["file_store", "fresh_path", "hash_sample", "map_slices", "scratch", "shared_dir", "stored", "table", "text_column"]
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """The same rows from a table written to the shared folder: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_column(name: str = "text") -> Column:
@@ -56,16 +35,17 @@ def hash_sample(df: DataFrame, by: list[str], n: int) -> DataFrame:
 
 
 def map_slices(
-    df: DataFrame, work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, rows: int = 256, chars: int = 4_000_000
+    df: DataFrame, work: Callable[[], Callable | tuple[Callable, Callable]], schema: str, rows: int = 256, chars: int = 4_000_000
 ) -> DataFrame:
     """mapInArrow in slices of bounded size, so that memory follows the slice and not the Arrow batch.
 
-    work() runs once in each task and returns the function of a slice. A slice
-    has at most `rows` rows and, if a column `text` is there, stops after about `chars` bytes of it.
+    work() runs once in each task and returns the function of a slice, or that
+    and a function for a last batch when the task has seen all. A slice has at most `rows` rows and, if a column `text` is there, stops after about `chars` bytes of it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = work()
+        each, last = each if isinstance(each, tuple) else (each, None)
         for batch in batches:
             at = 0
             sizes = None
@@ -80,5 +60,7 @@ def map_slices(
                 at += n
                 if out is not None and out.num_rows:
                     yield out
+        if last is not None:
+            yield last()
 
     return df.mapInArrow(run, schema)

@@ -1,19 +1,22 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 Inputs of a word are the vector of its hashed form and the mean of the vectors
-of its hashed character pieces. The network reads windows of LENGTH words that
-overlap; every window of a document is scored and the highest decides.
+of all its character n-grams, hashed. The network reads windows of LENGTH words
+that overlap; every window of a document is scored and the highest decides.
 
 Labels are by document, so training first finds which windows of a toxic
-document can bear its label: it weighs words and pieces by their log odds over
+document can bear its label: it weighs words and n-grams by their log odds over
 the documents of either class (which also starts their vectors), and takes the
-windows that weigh more than nearly all windows of clean documents.
+windows that weigh more than nearly all windows of clean documents. It sees
+every window of its documents. A part of them (one in CALIBRATE) does not train
+but sets the scale of scores, by the highest of all windows, as scoring does;
+classes count there as often as they come among all labels.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,27 +24,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_slices, table, text_column
-from .labelled import fold, labelled_sample
+from .labelled import class_sizes, fold, labelled_sample
+from .tokens import ranges
 
 LENGTH, STRIDE = 32, 24
-PER_CLASS, WINDOWS_PER_DOC = 2000, 24
+PER_CLASS, CALIBRATE = 2000, 4
 BUCKETS, WIDTH, HIDDEN = 1 << 16, 6, 8
-PIECES = 5
-EPOCHS, BATCH, RATE = 4, 256, 0.01
+#: Lengths of character n-grams, and how much their mean log odds weigh beside those of the word.
+GRAMS, GRAM_WEIGHT = (3, 4, 5), 5
+#: n-grams that are held at once.
+AT_ONCE = 500_000
+EPOCHS, BATCH, RATE = 8, 256, 0.01
 #: Distinct words a worker remembers; beyond this it starts anew.
 MEMO_WORDS = 300_000
 TRIM = ".,;:!?\"'()[]{}<>|*#$%&-_"
 PAD = ""
 
 
-def inputs(word: str) -> tuple[int, ...]:
-    """Buckets of a word and of its PIECES character pieces: starts of 3 to 6 characters and the last 4."""
-    word = word.lower().strip(TRIM)
-    return (
-        zlib.crc32(f"w{word}".encode()) % BUCKETS,
-        *(zlib.crc32(f"^{word[:n]}".encode()) % BUCKETS for n in (3, 4, 5, 6)),
-        zlib.crc32(f"{word[-4:]}$".encode()) % BUCKETS,
-    )
+def plain(word: str) -> str:
+    return word.lower().strip(TRIM)
+
+
+def grams(word: str) -> Iterator[int]:
+    """Buckets of all n-grams of ^word$, each as often as it comes."""
+    text = f"^{word}$".encode("utf-32-le")  # four bytes a character
+    for n in GRAMS:
+        for at in range(0, max(1, len(text) - 4 * n + 1), 4):
+            yield zlib.crc32(text[at : at + 4 * n]) % BUCKETS
+
+
+class Words:
+    """Buckets of words: `word` of each, and their n-grams one after another from `start`, `count` of each."""
+
+    def __init__(self, words: list[str]) -> None:
+        words = list(map(plain, words))
+        self.word = np.fromiter((zlib.crc32(f"w{w}".encode()) % BUCKETS for w in words), np.int64, len(words))
+        self.count = np.array([sum(max(1, len(w) + 3 - n) for n in GRAMS) for w in words], np.int64)
+        self.flat = np.fromiter((g for w in words for g in grams(w)), np.uint16, int(self.count.sum()))
+        self.start = np.cumsum(self.count) - self.count
+
+
+def parts(words: list[str]) -> Iterator[tuple[int, Words]]:
+    """Words of runs of the list with about AT_ONCE n-grams or one word each, and where the run begins."""
+    sizes = np.cumsum([3 * len(w) + 6 for w in words])
+    at = 0
+    while at < len(words):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + AT_ONCE)))
+        yield at, Words(words[at:end])
+        at = end
 
 
 def starts(n_words: int) -> list[int]:
@@ -63,16 +93,27 @@ class Network:
             self.p |= {f"x{way}": make(d, 3 * h), f"b{way}": np.zeros(3 * h, np.float32), f"h{way}": make(h, 3 * h)}
         self.scale, self.shift = 1.0, 0.0
 
-    def embed(self, buckets: np.ndarray) -> np.ndarray:
-        """Input vectors from buckets (..., 1 + PIECES)."""
-        return np.concatenate([self.p["word"][buckets[..., 0]], self.p["piece"][buckets[..., 1:]].mean(axis=-2)], axis=-1)
+    def embed(self, words: Words, some: np.ndarray | None = None) -> np.ndarray:
+        """Input vectors of words, or of some of them by number."""
+        start, count = (words.start, words.count) if some is None else (words.start[some], words.count[some])
+        flat = words.flat if some is None else words.flat[ranges(start, count)]
+        word = words.word if some is None else words.word[some]
+        if not len(word):
+            return np.zeros((0, 2 * WIDTH), self.p["word"].dtype)
+        mean = np.add.reduceat(self.p["piece"][flat], np.cumsum(count) - count) / count[:, None].astype(self.p["piece"].dtype)
+        return np.concatenate([self.p["word"][word], mean], axis=-1)
+
+    def gates(self, words: list[str]) -> np.ndarray:
+        """What the gates of both ways get from each word."""
+        found = [self.project(self.embed(w)) for _, w in parts(words)]
+        return np.concatenate(found).astype(np.float32) if found else np.zeros((0, 6 * HIDDEN), np.float32)
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """What the gates of both ways get from input vectors: (..., 6 * HIDDEN)."""
         return np.concatenate([x @ self.p["xf"] + self.p["bf"], x @ self.p["xb"] + self.p["bb"]], axis=-1)
 
     def _read(self, g: np.ndarray, way: str, keep: list | None) -> list[np.ndarray]:
-        h, u, out = np.zeros((len(g), HIDDEN), np.float32), self.p[f"h{way}"], [None] * LENGTH
+        h, u, out = np.zeros((len(g), HIDDEN), g.dtype), self.p[f"h{way}"], [None] * LENGTH
         for t in range(LENGTH) if way == "f" else range(LENGTH - 1, -1, -1):
             x = g[:, t, : 3 * HIDDEN] if way == "f" else g[:, t, 3 * HIDDEN :]
             a = h @ u
@@ -98,10 +139,13 @@ class Network:
             keep |= {"h": h, "u": u, "a": a, "s": s, **kept}
         return s @ self.p["out"] + self.p["out_b"][0]
 
-    def gradients(self, buckets: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
-        x, k = self.embed(buckets), {}
+    def gradients(self, words: Words, windows: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy of windows (numbers of words) with their labels."""
+        used, inverse = np.unique(windows, return_inverse=True)
+        inverse = inverse.ravel()
+        x, k = self.embed(words, used)[inverse].reshape(*windows.shape, 2 * WIDTH), {}
         logit = self.forward(self.project(x), k)
-        d = (_sigmoid(logit) - labels).astype(np.float32) / len(labels)
+        d = (_sigmoid(logit) - labels).astype(x.dtype) / len(labels)
         p, g = self.p, {"out": k["s"].T @ d, "out_b": d.sum(keepdims=True)}
         ds = d[:, None] * p["out"]
         da = np.einsum("bth,bh->bt", k["h"], ds)
@@ -112,7 +156,7 @@ class Network:
         dh_all = k["a"][:, :, None] * ds[:, None, :] + du @ p["att"].T
         dx = np.zeros_like(x)
         for way, part in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, 2 * HIDDEN))):
-            u, dh, gu, dg = p[f"h{way}"], 0.0, np.zeros_like(p[f"h{way}"]), np.zeros((*x.shape[:2], 3 * HIDDEN), np.float32)
+            u, dh, gu, dg = p[f"h{way}"], 0.0, np.zeros_like(p[f"h{way}"]), np.zeros((*x.shape[:2], 3 * HIDDEN), x.dtype)
             for t, h, z, r, n, c in reversed(k[way]):
                 dh = dh + dh_all[:, t, part]
                 dn = dh * (1 - z) * (1 - n * n)
@@ -122,29 +166,35 @@ class Network:
                 dh = dh * z + da @ u.T
             g[f"h{way}"], g[f"b{way}"], g[f"x{way}"] = gu, dg.sum(axis=(0, 1)), np.einsum("btd,btg->dg", x, dg)
             dx += dg @ p[f"x{way}"].T
-        g["word"], g["piece"] = np.zeros_like(p["word"]), np.zeros_like(p["piece"])
-        np.add.at(g["word"], buckets[..., 0].ravel(), dx[..., :WIDTH].reshape(-1, WIDTH))
-        np.add.at(g["piece"], buckets[..., 1:].reshape(-1), np.repeat(dx[..., WIDTH:].reshape(-1, WIDTH) / PIECES, PIECES, axis=0))
+        dx = dx.reshape(-1, 2 * WIDTH)
+        each = np.stack([np.bincount(inverse, weights=dx[:, j], minlength=len(used)) for j in range(2 * WIDTH)], axis=1)
+        count = words.count[used]
+        flat = words.flat[ranges(words.start[used], count)]
+        spread = np.repeat(each[:, WIDTH:] / count[:, None], count, axis=0)
+        add = lambda at, v, to: np.stack([np.bincount(at, weights=v[:, j], minlength=BUCKETS) for j in range(WIDTH)], axis=1).astype(to.dtype)
+        g["word"], g["piece"] = add(words.word[used], each[:, :WIDTH], p["word"]), add(flat, spread, p["piece"])
         return g
 
-    def fit(self, windows: np.ndarray, owners: np.ndarray, labels: np.ndarray, seed: int = 7) -> Network:
-        """windows: buckets (n, LENGTH, 1 + PIECES); owners: the document of each; labels: of each document."""
-        y, n_docs = labels[owners], np.bincount(labels, minlength=2)
-        odds = {}
-        for name, at in (("word", windows[..., 0].reshape(len(windows), -1)), ("piece", windows[..., 1:].reshape(len(windows), -1))):
-            seen = np.unique(owners[:, None] * BUCKETS + at)
-            count = [np.bincount(seen[labels[seen // BUCKETS] == k] % BUCKETS, minlength=BUCKETS) for k in (0, 1)]
-            rate = [np.log((count[k] + 0.5) / (n_docs[k] + 1)) for k in (0, 1)]
-            odds[name] = np.where(count[0] + count[1] >= 3, np.clip(rate[1] - rate[0], -4, 4), 0).astype(np.float32)
-            self.p[name][:, 0] = odds[name]
-        weigh = (odds["word"][windows[..., 0]] + odds["piece"][windows[..., 1:]].sum(axis=2)).max(axis=1)
+    def fit(self, words: Words, windows: np.ndarray, owners: np.ndarray, labels: np.ndarray, sizes: np.ndarray | None = None, seed: int = 7) -> Network:
+        """windows: numbers of words (n, LENGTH); owners: the document of each, ascending; labels: of each document; sizes: how often each label comes in all."""
+        aside = np.arange(len(labels)) % CALIBRATE == CALIBRATE - 1
+        if set(labels[aside]) != {0, 1} or set(labels[~aside]) != {0, 1}:
+            aside = np.zeros(len(labels), bool)  # too few documents to set some aside
+        y = np.where(aside[owners], -1, labels[owners])
+        score = self._odds(words, windows, owners, np.where(aside, -1, labels))
+        weigh = np.concatenate([score[windows[at : at + 65536]].max(axis=1) for at in range(0, len(windows), 65536)])
         bar = np.quantile(weigh[y == 0], 0.995)
         best = np.full(len(labels), -np.inf)
         np.maximum.at(best, owners, weigh)
         bears = (y == 1) & ((weigh > bar) | (weigh == best[owners]))
         r = np.random.default_rng(seed)
         positive, negative = np.flatnonzero(bears), np.flatnonzero(y == 0)
-        logits = lambda some: np.concatenate([self.forward(self.project(self.embed(windows[some[at : at + 4096]]))) for at in range(0, len(some), 4096)])
+
+        def logits(some: np.ndarray) -> np.ndarray:
+            n = len(words.word)
+            gates = np.concatenate([self.project(self.embed(words, np.arange(at, min(at + 16384, n)))) for at in range(0, n, 16384)])
+            return np.concatenate([self.forward(gates[windows[some[at : at + 4096]]]) for at in range(0, len(some), 4096)])
+
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
         step = 0
@@ -157,20 +207,47 @@ class Network:
             order = r.permutation(len(use))
             for at in range(0, len(order), BATCH):
                 some, step = order[at : at + BATCH], step + 1
-                for k, g in self.gradients(windows[use[some]], target[some]).items():
+                for k, g in self.gradients(words, windows[use[some]], target[some]).items():
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.99 * v[k] + 0.01 * g * g
                     self.p[k] -= (RATE * m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         top = np.full(len(labels), -np.inf)
         np.maximum.at(top, owners, logits(np.arange(len(windows))))
-        # Platt scaling of the highest logit of a document.
+        # Platt scaling of the highest logit of the documents set aside, weighted to the classes' shares of all labels.
+        if aside.any():
+            top, labels = top[aside], labels[aside]
+        n = np.bincount(labels, minlength=2)
+        weight = (n if sizes is None else sizes / sizes.sum() * n.sum())[labels] / n[labels]
         x, w = np.stack([top, np.ones(len(top))], axis=1), np.array([1.0, 0.0])
+        loss = lambda w: (weight * (np.logaddexp(0, x @ w) - labels * (x @ w))).sum() + 0.5 * ((w - [1, 0]) ** 2).sum()
         for _ in range(50):
             q = _sigmoid(x @ w)
-            w = w - np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]) + 1e-2 * np.eye(2), x.T @ (q - labels) + 1e-2 * (w - [1, 0]))
+            step = np.linalg.solve(x.T @ (x * (weight * q * (1 - q))[:, None]) + np.eye(2), x.T @ (weight * (q - labels)) + (w - [1, 0]))
+            while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+                step = step / 2
+            w = w - step
         self.scale, self.shift = map(float, w)
         return self
 
+    def _odds(self, words: Words, windows: np.ndarray, owners: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        """Starts the first number of each vector with the log odds over documents; the weight of each word."""
+        count = {name: np.zeros((2, BUCKETS)) for name in ("word", "piece")}
+        edges = np.searchsorted(owners, np.arange(0, len(labels) + 200, 200))
+        for a, z in zip(edges, edges[1:], strict=False):  # blocks of 200 documents
+            n = len(words.word)
+            pairs = np.unique(np.repeat(owners[a:z], LENGTH) * n + windows[a:z].ravel())
+            doc, word = pairs // n, pairs % n
+            for name, d, at in (("word", doc, words.word[word]), ("piece", np.repeat(doc, words.count[word]), words.flat[ranges(words.start[word], words.count[word])])):
+                seen = np.unique(d * BUCKETS + at)
+                for k in (0, 1):
+                    count[name][k] += np.bincount(seen[labels[seen // BUCKETS] == k] % BUCKETS, minlength=BUCKETS)
+        n_docs = [(labels == k).sum() for k in (0, 1)]
+        for name, c in count.items():
+            rate = [np.log((c[k] + 0.5) / (n_docs[k] + 1)) for k in (0, 1)]
+            self.p[name][:, 0] = np.where(c.sum(axis=0) >= 3, np.clip(rate[1] - rate[0], -4, 4), 0)
+        mean = np.add.reduceat(self.p["piece"][words.flat, 0], words.start) / words.count
+        return self.p["word"][words.word, 0] + GRAM_WEIGHT * mean
+
 
 class Scorer:
     """Scores whole texts; remembers what the gates get from each distinct word."""
@@ -188,7 +265,7 @@ class Scorer:
                 n = self[word] = len(self)
                 return n
 
-        self.memo, self.new, self.gates = Memo(), [], np.zeros((0, 6 * HIDDEN), np.float32)
+        self.memo, self.new, self.gates = Memo(), [], np.zeros((1024, 6 * HIDDEN), np.float32)
         self.pad = self.memo[PAD]
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -206,45 +283,45 @@ class Scorer:
             owners += [k] * len(first)
         if self.new:
             known, self.new = self.new, []
-            added = self.network.project(self.network.embed(np.array([inputs(w) for w in known]))).astype(np.float32)
-            self.gates = np.concatenate([self.gates, added])
+            if len(self.memo) > len(self.gates):  # room for twice as many
+                self.gates = np.concatenate([self.gates, np.zeros((2 * len(self.memo) - len(self.gates), 6 * HIDDEN), np.float32)])
+            self.gates[len(self.memo) - len(known) : len(self.memo)] = self.network.gates(known)
         windows, top = np.concatenate(rows), np.full(len(texts), -np.inf)
         for at in range(0, len(windows), 4096):
             np.maximum.at(top, owners[at : at + 4096], self.network.forward(self.gates[windows[at : at + 4096]]))
         return _sigmoid(top * self.network.scale + self.network.shift)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS) -> Network | None:
-    """Fits on at most per_class documents of each class and WINDOWS_PER_DOC windows, spread evenly, of each; None if a class has none."""
-
-    def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for text in batch.column("text").to_pylist():
-                words = text.split()
-                words += [PAD] * (LENGTH - len(words))
-                first = starts(len(words))
-                some = sorted({round(k) for k in np.linspace(0, len(first) - 1, min(len(first), WINDOWS_PER_DOC))})
-                out.append(np.array([[inputs(w) for w in words[first[k] : first[k] + LENGTH]] for k in some], "<u2").tobytes())
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], ["doc_id", "label", "windows"])
+def windows_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words, the numbers of the words of every window, and the text of each window."""
+    number: dict[str, int] = {PAD: 0}
+    rows, owners = [], []
+    for k, text in enumerate(texts):
+        words = text.split()
+        ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
+        first = starts(len(words))
+        ids = np.append(ids, np.zeros(max(0, LENGTH - len(ids)), np.int32))
+        rows.append(ids[np.array(first)[:, None] + np.arange(LENGTH)])
+        owners.append(np.full(len(first), k))
+    return list(number), np.concatenate(rows), np.concatenate(owners)
 
-        return each
 
-    rows = map_slices(labelled_sample(docs, labels, label, per_class), work, "doc_id long, label int, windows binary").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+def train(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_CLASS) -> Network | None:
+    """Fits on the whole texts of at most per_class documents of each class, which the driver holds; None if a class has none."""
+    rows = labelled_sample(docs, labels, label, per_class).toPandas().sort_values("doc_id", kind="stable")
     if set(rows.label) != {0, 1}:
         return None
-    windows = [np.frombuffer(x, "<u2").reshape(-1, LENGTH, 1 + PIECES) for x in rows.windows]
-    owners = np.repeat(np.arange(len(windows)), [len(x) for x in windows])
-    return Network().fit(np.concatenate(windows).astype(np.int64), owners, rows.label.to_numpy())
+    words, windows, owners = windows_of(rows.text.to_list())
+    return Network().fit(Words(words), windows, owners, rows.label.to_numpy(), class_sizes(labels, label))
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs.
 
-    Null text counts as empty and has a score as well. Rows with null doc_id
-    are scored and not held out. Without labels of both classes every score is
-    0; an empty table gives no rows.
+    Null and empty texts have a score as well; very long texts are scored
+    whole. Rows with null doc_id are scored and not held out; repeated rows are
+    all scored. Without labels of both classes every score is 0; an empty table
+    gives no rows.
     """
     network = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, per_class))
 
