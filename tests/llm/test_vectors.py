@@ -52,6 +52,29 @@ def test_hot_vector_and_ties(spark, monkeypatch):
     assert min(ids, scores) >= 0.9 * len(want)
 
 
+def test_tiny_leaves(spark, monkeypatch):
+    """Leaves are split in tasks until they hold a few rows each, one visit is enough for the recall asked, and still each query gets its 20."""
+    monkeypatch.setattr(kmeans_tree, "LEAF", 4)
+    monkeypatch.setattr(kmeans_tree, "LEAST", 2)
+    r = np.random.default_rng(6)
+    rows = [(k, r.standard_normal(6).tolist()) for k in range(1500)] + [(k, [1.0] * 6) for k in range(1500, 1540)] + [(1541, r.standard_normal(6).tolist()) for _ in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    tree, size = kmeans_tree.build(df.select("vec_id", F.col("embedding").alias("v"), F.lit(False).alias("q")), sample=60)
+    assert size.sum() == len(rows) and sorted(tree.order()) == list(range(tree.leaves)) and len(set(tree.visit(np.ones(6)))) == tree.leaves
+    assert sorted(size)[-2] <= 8 and size.max() >= 40  # the equal vectors cannot be split
+    got = found(kmeans_tree.search(df, F.col("vec_id") % 20 == 0, recall=0.0, sample=60))
+    assert set(got) == set(range(0, 1540, 20)) and all(len({i for i, _ in v}) == 20 for v in got.values())
+
+
+def test_repeated_ids_do_not_crowd_out_others(spark):
+    """The nearest rows are one vec_id many times: the query goes on to other leaves."""
+    r = np.random.default_rng(2)
+    rows = [(0, [1.0, 1.0])] + [(1, [2.0, 2.0 + k * 1e-6]) for k in range(400)] + [(k, (r.standard_normal(2) - 3).tolist()) for k in range(2, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(kmeans_tree.search(df, F.col("vec_id") % 20 == 0, recall=0.0, sample=200))
+    assert all(len(v) == 20 for v in got.values())
+
+
 def test_rows_that_take_no_part(spark):
     odd = [(0, None), (20, [0.0, 0.0]), (40, [NAN, 1.0]), (60, [INF, 1.0]), (80, [None, 1.0]), (None, [1.0, 1.0]), (7, []), (9, [1.0])]
     rows = [(100, [1.0, 0.0]), (101, [0.5, 0.5]), (101, [0.5, 0.5]), (102, [0.0, 1.0])]
