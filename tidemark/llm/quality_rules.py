@@ -9,8 +9,9 @@ its sources. A quantile read from one is off by at most 1/32 of its value.
 A document passes if each measure is at most
 q75 + 3 * max(q75 - q25, tolerance) of its own (lang, source) group. The
 tolerance keeps a group whose values are all alike from rejecting the
-slightest difference. Groups with few documents use the sketch of their
-language, then that of the whole table.
+slightest difference. One formula holds for groups of every size: the quartiles
+of a group of n documents are (n * own + PRIOR * those of its language) /
+(n + PRIOR), and those of a language lean on the whole table's in the same way.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ MEASURES = {
     "shouts": ("n_shouts", "word_chars", 100),
     "word_length": ("word_chars", "n_words", 2000),
 }
-MIN_WORDS, MAX_REPEAT_PERCENT, MIN_GROUP, FENCE = 50, 50, 100, 3
+MIN_WORDS, MAX_REPEAT_PERCENT, FENCE = 50, 50, 3
+#: Documents that the wider group counts for in the quartiles of a group.
+PRIOR = 10
 
 
 def measure(text: str) -> tuple[int, ...]:
@@ -110,21 +113,24 @@ def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """lang, source and a limit for each measure, from the first of (lang, source), (lang), () with MIN_GROUP documents, or from ()."""
-    tolerance = F.create_map(*(F.lit(x) for m, (_, _, t) in MEASURES.items() for x in (m, t)))[F.col("measure")]
-    limit = F.struct("size", (F.col("q75") + FENCE * F.greatest(F.col("q75") - F.col("q25"), tolerance)).alias("limit"))
+    """lang, source and a limit for each measure, from quartiles that lean on the wider group's with the weight of PRIOR documents."""
     groups = sketch.select("lang", "source", "measure").distinct()
-    for name, keys in (("own", ["lang", "source"]), ("wide", ["lang"]), ("all", [])):
-        groups = groups.join(quantiles(sketch, keys).select(*keys, "measure", limit.alias(name)), [*keys, "measure"], "left")
-    best = F.when(F.col("own.size") >= MIN_GROUP, F.col("own.limit")).when(F.col("wide.size") >= MIN_GROUP, F.col("wide.limit")).otherwise(F.col("all.limit"))
-    return groups.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, best)).alias(f"max_{m}") for m in MEASURES))
+    for name, keys in (("own", ["lang", "source"]), ("wide", ["lang"]), ("whole", [])):
+        groups = groups.join(quantiles(sketch, keys).select(*keys, "measure", *(F.col(c).alias(f"{name}_{c}") for c in ("size", "q25", "q75"))), [*keys, "measure"])
+    for q in ("q25", "q75"):
+        groups = groups.withColumn(f"lang_{q}", F.expr(f"(wide_size * wide_{q} + {PRIOR} * whole_{q}) div (wide_size + {PRIOR})"))
+        groups = groups.withColumn(q, F.expr(f"(own_size * own_{q} + {PRIOR} * lang_{q}) div (own_size + {PRIOR})"))
+    tolerance = F.create_map(*(F.lit(x) for m, (_, _, t) in MEASURES.items() for x in (m, t)))[F.col("measure")]
+    limit = F.col("q75") + FENCE * F.greatest(F.col("q75") - F.col("q25"), tolerance)
+    return groups.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, limit)).alias(f"max_{m}") for m in MEASURES))
 
 
 def judged(docs: DataFrame, carry: list[str]) -> DataFrame:
     """row, COUNTS, base_failed and kept, for every row of docs.
 
-    Null or empty text fails the base rules (no words). Repeated rows are
-    judged alike and all returned; an empty table gives no rows.
+    Null or empty text fails the base rules (no words); very long texts are
+    counted whole. Repeated rows are judged alike and all returned, a value at
+    the limit passes; an empty table gives no rows.
     """
     rows = stored(measured(docs, carry), "quality-rules")
     limits = stored(thresholds(sketches(rows)), "quality-limits")
@@ -136,7 +142,7 @@ def judged(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that the rules keep."""
+    """The rows of docs, all columns, that the rules keep; null and empty texts go, an empty table stays empty."""
     return judged(docs, docs.columns).where("kept").select("row.*")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import COUNTS, FENCE, MAX_REPEAT_PERCENT, MEASURES, MIN_GROUP, MIN_WORDS
+from .quality_rules import COUNTS, FENCE, MAX_REPEAT_PERCENT, MEASURES, MIN_WORDS, PRIOR
 
 WORD = "[^\\x20\\x09-\\x0D]"
 
@@ -17,7 +17,15 @@ def _quantiles(name: str, keys: str) -> str:
     return f"""{name}_n AS (SELECT {by}, top, sum(n) AS n FROM sketch GROUP BY {by}, top),
  {name}_u AS (SELECT {by}, top, sum(n) OVER (PARTITION BY {by} ORDER BY top) AS upto, sum(n) OVER (PARTITION BY {by}) AS size FROM {name}_n),
  {name}_q AS (SELECT {by}, max(size) AS size, min(top) FILTER (WHERE upto * 100 >= size * 25) AS q25, min(top) FILTER (WHERE upto * 100 >= size * 75) AS q75 FROM {name}_u GROUP BY {by}),
- {name} AS (SELECT {by}, size, q75 + {FENCE} * greatest(q75 - q25, CASE measure {" ".join(f"WHEN '{m}' THEN {t}" for m, (_, _, t) in MEASURES.items())} END) AS cap FROM {name}_q)"""
+ {name} AS (SELECT {by}, CAST(size AS BIGINT) AS {name}_size, CAST(q25 AS BIGINT) AS {name}_q25, CAST(q75 AS BIGINT) AS {name}_q75 FROM {name}_q)"""
+
+
+def _leaning(q: str) -> str:
+    wide = f"(wide_size * wide_{q} + {PRIOR} * whole_{q}) // (wide_size + {PRIOR})"
+    return f"(own_size * own_{q} + {PRIOR} * ({wide})) // (own_size + {PRIOR}) AS {q}"
+
+
+TOLERANCE = f"""CASE measure {" ".join(f"WHEN '{m}' THEN {t}" for m, (_, _, t) in MEASURES.items())} END"""
 
 
 SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
@@ -34,6 +42,7 @@ SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, ''
  {_quantiles("own", "lang, source")},
  {_quantiles("wide", "lang")},
  {_quantiles("whole", "")},
- g AS (SELECT o.lang, o.source, o.measure, CASE WHEN o.size >= {MIN_GROUP} THEN o.cap WHEN wide.size >= {MIN_GROUP} THEN wide.cap ELSE whole.cap END AS cap FROM own o JOIN wide USING (lang, measure) JOIN whole USING (measure)),
+ l AS (SELECT lang, source, measure, {_leaning("q25")}, {_leaning("q75")} FROM own JOIN wide USING (lang, measure) JOIN whole USING (measure)),
+ g AS (SELECT lang, source, measure, q75 + {FENCE} * greatest(q75 - q25, {TOLERANCE}) AS cap FROM l),
  t AS (SELECT lang, source, {", ".join(f"max(cap) FILTER (WHERE measure = '{x}') AS max_{x}" for x in MEASURES)} FROM g GROUP BY lang, source)
 SELECT doc_id, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in COUNTS[:5])}, base_failed, coalesce(NOT base_failed AND {" AND ".join(f"{_value(x)} <= max_{x}" for x in MEASURES)}, FALSE) AS kept FROM f LEFT JOIN t USING (lang, source)"""
