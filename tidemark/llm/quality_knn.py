@@ -1,15 +1,17 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-Terms are pairs of character classes (shape of the text) and bucketed shares
-of repeated word windows and lines, weighted by tf-idf. A singular value
-decomposition of the labelled documents' term matrix gives the latent space.
-The labelled vectors (at most 2 * PER_CLASS of them) are broadcast; every
-document is multiplied with all of them, in blocks, and the labels of the
-nearest vote with their similarities.
+Terms are words (hashed), pairs of character classes (shape of the text) and
+bucketed shares of repeated word windows and lines, weighted by tf-idf with the
+document frequencies of the whole corpus. A singular value decomposition of the
+labelled documents' term matrix gives the latent space. The labelled vectors
+(at most 2 * PER_CLASS of them) are broadcast; every document is multiplied
+with all of them, in blocks, and the labels of the nearest vote with their
+similarities; of equally near ones those with the least doc_id vote.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -20,12 +22,21 @@ from pyspark.sql import functions as F
 from .common import map_slices, table, text_column
 from .labelled import fold, labelled_sample
 
-PER_CLASS, LATENT, NEIGHBOURS = 2000, 32, 15
+PER_CLASS, LATENT, NEIGHBOURS = 2000, 48, 15
+#: Buckets of words, and the weight of all words of a text beside that of its shape.
+WORDS, WORD_WEIGHT = 1 << 13, 0.35
+TRIM = b".,;:!?\"'()[]{}<>|*#$%&-_"
+#: Distinct words that a worker remembers; beyond this it starts anew.
+MEMO_WORDS = 500_000
+#: Similarities are compared in steps of this size, so that equal vectors tie whatever block they are multiplied in.
+GRAIN = 1e-5
 #: Characters by class; other ASCII signs share one class, all beyond ASCII another.
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".", ",", "!", "|", "#", "*$", "%&", "<>", "'\"", "@_/:;=-"]
 SHARES = (0.0, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75)
 N_CLASSES = len(CLASSES) + 2
-PAIRS, N_TERMS = N_CLASSES * N_CLASSES, N_CLASSES * N_CLASSES + 2 * len(SHARES)
+PAIRS, SHAPES = N_CLASSES * N_CLASSES, N_CLASSES * N_CLASSES + 2 * len(SHARES)
+N_TERMS = SHAPES + WORDS
+SPARSE = np.dtype([("at", "<u2"), ("v", "<f4")])
 
 
 def _class_of_byte() -> np.ndarray:
@@ -36,15 +47,31 @@ def _class_of_byte() -> np.ndarray:
     return of
 
 
+class _Buckets(dict):
+    """word -> bucket of its lower-case form without signs around it."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = zlib.crc32(word.lower().strip(TRIM)) % WORDS
+        return n
+
+
+_buckets = _Buckets()
+
+
 def terms(texts: list[str]) -> np.ndarray:
-    """Term weights before idf: square roots of shares of pairs, and one term each for the share of repeats."""
+    """Term weights before idf: square roots of shares of pairs and of words, and one term each for the share of repeats."""
     of, out = _class_of_byte(), np.zeros((len(texts), N_TERMS), np.float32)
+    if len(_buckets) > MEMO_WORDS:
+        _buckets.clear()
+    bucket = _buckets.__getitem__
     for row, text in zip(out, texts, strict=True):
         raw = text.encode()
         kind = of[np.frombuffer(raw, np.uint8)]
         pairs = np.bincount(kind[:-1] * N_CLASSES + kind[1:], minlength=PAIRS)
         row[:PAIRS] = np.sqrt(pairs / max(1, pairs.sum()))
         words = raw.split()
+        seen = np.bincount(np.fromiter(map(bucket, words), np.int64, len(words)), minlength=WORDS)
+        row[SHAPES:] = WORD_WEIGHT * np.sqrt(seen / max(1, len(words)))
         windows = max(1, len(words) - 2)
         lines = [x for x in raw.split(b"\n") if x.strip()]
         for k, (n, distinct) in enumerate(((windows, len(set(zip(words, words[1:], words[2:], strict=False)))), (len(lines), len(set(lines))))):
@@ -53,15 +80,41 @@ def terms(texts: list[str]) -> np.ndarray:
     return out
 
 
+def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of all documents and, for each term, of those that have it: one sum a task, N_TERMS rows in the end."""
+
+    def work() -> tuple[Callable, Callable]:
+        total = np.zeros(N_TERMS + 1, np.int64)
+
+        def each(batch: pa.RecordBatch) -> None:
+            total[:-1] += (terms(batch.column("text").to_pylist()) > 0).sum(axis=0)
+            total[-1] += batch.num_rows
+
+        return each, lambda: pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total), pa.int32()), pa.array(total[total > 0])], ["term", "n"])
+
+    found = map_slices(docs.select(text_column().alias("text")), work, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    total = np.zeros(N_TERMS + 1, np.int64)
+    for r in found:
+        total[r["term"]] = r["n"]
+    return int(total[-1]), total[:-1]
+
+
+def principal_axes(x: np.ndarray, n: int, rounds: int = 6, seed: int = 7) -> np.ndarray:
+    """The first n right singular vectors of x, by subspace iteration."""
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((x.shape[1], min(n + 16, *x.shape))).astype(x.dtype))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    return q @ np.linalg.svd(x @ q, full_matrices=False)[2].T[:, :n]
+
+
 class Model:
-    """Latent space and labelled vectors, from term weights (n, N_TERMS) and labels."""
+    """Latent space and labelled vectors, from term weights (n, N_TERMS) and labels of documents in the order of their ids."""
 
-    def __init__(self, weights: np.ndarray, labels: np.ndarray) -> None:
+    def __init__(self, weights: np.ndarray, labels: np.ndarray, n_docs: int, frequencies: np.ndarray) -> None:
         self.labels = labels.astype(np.float32)
-        self.idf = np.log((1 + len(weights)) / (1 + (weights > 0).sum(axis=0))).astype(np.float32) + 1
+        self.idf = np.log((1 + n_docs) / (1 + frequencies)).astype(np.float32) + 1
         if len(weights):
-            _, _, axes = np.linalg.svd(weights * self.idf, full_matrices=False)
-            self.axes = axes[:LATENT].T.astype(np.float32)
+            self.axes = principal_axes(weights * self.idf, LATENT).astype(np.float32)
             self.vectors = self.latent(weights)
 
     def latent(self, weights: np.ndarray) -> np.ndarray:
@@ -72,10 +125,14 @@ class Model:
         """Share of label 1 among the nearest labelled vectors, weighted by similarity; 0.5 without labels."""
         if not len(self.labels):
             return np.full(len(weights), 0.5)
-        near = self.latent(weights) @ self.vectors.T
+        near = np.rint(self.latent(weights) @ self.vectors.T / GRAIN).astype(np.int32)
         k = min(NEIGHBOURS, near.shape[1])
-        at = np.argpartition(near, near.shape[1] - k, axis=1)[:, -k:]
-        votes = np.maximum(np.take_along_axis(near, at, axis=1).astype(np.float64), 1e-6) ** 8
+        bar = np.partition(near, near.shape[1] - k, axis=1)[:, -k][:, None]
+        above = near > bar
+        level = near == bar
+        chosen = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        at = np.nonzero(chosen)[1].reshape(-1, k)
+        votes = np.maximum(np.take_along_axis(near, at, axis=1) * GRAIN, 1e-6) ** 8
         return np.clip((votes * self.labels[at]).sum(axis=1) / votes.sum(axis=1), 0, 1)
 
 
@@ -83,20 +140,30 @@ def train(docs: DataFrame, labels: DataFrame, label: str, per_class: int = PER_C
     def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             x = terms(batch.column("text").to_pylist())
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "label", "x"])
+            out = []
+            for row in x:
+                at = np.flatnonzero(row)
+                some = np.empty(len(at), SPARSE)
+                some["at"], some["v"] = at, row[at]
+                out.append(some.tobytes())
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary())], ["doc_id", "label", "x"])
 
         return each
 
-    rows = map_slices(labelled_sample(docs, labels, label, per_class), work, "doc_id long, label int, x array<float>").toPandas().sort_values("doc_id", kind="stable")
-    rows = rows.drop_duplicates("doc_id")  # at most 2 * per_class
-    return Model(np.stack(rows.x) if len(rows) else np.zeros((0, N_TERMS), np.float32), rows.label.to_numpy())
+    rows = map_slices(labelled_sample(docs, labels, label, per_class), work, "doc_id long, label int, x binary").toPandas().sort_values("doc_id", kind="stable")
+    weights = np.zeros((len(rows), N_TERMS), np.float32)  # at most 2 * per_class rows
+    for to, x in zip(weights, rows.x, strict=True):
+        at, v = np.frombuffer(x, SPARSE)["at"], np.frombuffer(x, SPARSE)["v"]
+        to[at] = v
+    return Model(weights, rows.label.to_numpy(), *document_frequencies(docs))
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs.
 
-    Null text counts as empty. Rows with null doc_id are scored and not held
-    out. Without usable labels every score is 0.5; an empty table gives no rows.
+    Null text counts as empty, very long texts are read whole. Rows with null
+    doc_id are scored and not held out; repeated rows are all scored. Without
+    usable labels every score is 0.5; an empty table gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, per_class))
 
