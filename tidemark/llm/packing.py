@@ -93,14 +93,43 @@ def served_before(windows: np.ndarray, weights: np.ndarray, totals: np.ndarray,
     return before + np.clip(left, 0, turn)  # equal times: in the order of the sources
 
 
+def shares(total: dict[str, int], targets: dict[str, float] | None) -> np.ndarray:
+    """The share of each source in a window: its target, or its part by tokens of what the targets leave over.
+
+    Raises ValueError if a target is not above 0, if they add up to more than
+    1, or if they leave nothing for sources that have none, as every document is packed.
+    """
+    own = {s: float(targets[s]) for s in total if s in (targets or {})}
+    rest, left = sum(n for s, n in total.items() if s not in own), 1 - sum(own.values())
+    if any(w <= 0 for w in own.values()) or left < -1e-9 or (rest and left <= 1e-9):
+        raise ValueError("target shares must be above 0, at most 1 together, and leave some for sources without one")
+    found = np.array([own[s] if s in own else left * n / rest for s, n in total.items()])
+    return found if rest or not len(found) else found / found.sum()  # all sources have one: in proportion
+
+
+def mixture(pieces: DataFrame) -> DataFrame:
+    """source, n_tokens, last_sequence and, over the sequences up to the first in which a queue has run dry, its share; one row for each source.
+
+    Where a share there is not the target, or last_sequence of a source comes
+    early, the corpus has too little of that source for the targets asked.
+    """
+    ends = pieces.groupBy("source").agg(F.sum("length").alias("n_tokens"), F.max("sequence_id").alias("last_sequence"))
+    whole = pieces.join(ends.agg(F.min("last_sequence").alias("dry")), F.col("sequence_id") < F.col("dry"))
+    sums = whole.groupBy("source").agg(F.sum("length").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy())  # one row a source
+    return ends.join(sums.select("source", share.alias("share")), "source", "left")
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, targets: dict[str, float] | None = None, with_ids: bool = True) -> DataFrame:
     """Pieces of all documents: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with_ids, ids.
 
-    `targets` gives shares by source; a source without one, or every source if
-    there are none, gets its share of the corpus. Null text is an empty
-    document (its end id alone); repeated rows are packed as often as they
-    come; null doc_id is kept; an empty table gives no pieces. The driver holds
-    one total for each source, no document.
+    `targets` gives shares of tokens by source, which hold as they are while
+    all queues last; sources without one divide what is left among them by
+    their tokens. mixture() tells what came of it. Null text is an empty
+    document (its end id alone), very long texts are cut over many windows;
+    repeated rows are packed as often as they come; null doc_id is kept; an
+    empty table gives no pieces. The driver holds one total for each source, no
+    document; a window has a column for each source, so there should be thousands of sources at most.
     """
     tokens = stored(tokenize(docs, tokenizer, end_id), "packing-tokens")
     parts = tokens.groupBy("source", "part").agg(F.sum("n_tokens").alias("n"))
@@ -109,10 +138,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, targets
     total = {r["source"]: r["n"] for r in parts.groupBy("source").agg(F.sum("n").alias("n")).orderBy("source").collect()}
     names = list(total)
     totals = np.array([total[s] for s in names], np.int64)
-    weights = np.array([float((targets or {}).get(s, total[s] / max(1, totals.sum()))) for s in names])
-    if (weights <= 0).any():
-        raise ValueError("target shares must be above 0: every document is packed")
-    weights = weights / weights.sum() if len(names) else weights
+    weights = shares(total, targets)
     number = {s: k for k, s in enumerate(names)}
     kind = id_type(tokenizer)
 
@@ -166,7 +192,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, targets
 
 
 def sequences(pieces: DataFrame, size: int = SIZE, pad_id: int = 0) -> DataFrame:
-    """sequence_id, ids (size token ids, the last sequence padded), n_tokens: one group is one window, never larger."""
+    """sequence_id, ids (size token ids, the last sequence padded), n_tokens: one group is one window, never larger. No pieces, no rows."""
     pieces = pieces.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("pieces"), F.sum("length").alias("n_tokens"))
 
     def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
