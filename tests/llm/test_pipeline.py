@@ -29,3 +29,35 @@ def test_stages(spark):
     assert whole.where("n <> d").count() == 0 and whole.count() == mixed.count()
     tokens = lambda df: {tuple(r) for r in df.groupBy("doc_id").agg(F.sum("length")).collect()}
     assert tokens(cp.run(spark, SF)) == tokens(packed)
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows, columns with names used inside, an empty table: through all stages."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(80)
+    first = docs.where("length(text) > 400").limit(1).collect()[0]
+    odd = [(None, first["text"], None, None, None), (9001, None, None, "s", 0), (9002, "", "en", None, 0), (9003, "wort " * 20_000, "de", "s", None), tuple(first), tuple(first)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    docs = docs.select("*", *(F.lit(7).alias(c) for c in ("row", "uid", "fp", "rate", "base", "spans", "word", "part", "n_words", "max_symbols", "component_id")))
+    for start in (docs, docs.limit(0)):
+        kept = start
+        for name, stage in cp.STAGES:
+            out = stage(spark, kept, SF).cache()
+            if name == "packing":
+                assert {r[0] for r in out.select("doc_id").distinct().collect()} == {r[0] for r in kept.select("doc_id").distinct().collect()}
+            else:
+                assert out.dtypes == docs.dtypes and out.count() <= kept.count()
+                assert out.where("row <> 7 or uid <> 7 or rate <> 7").count() == 0
+            kept = out
+    assert not {9001, 9002, 9003} & {r[0] for r in cp.rules(spark, docs, SF).select("doc_id").collect()}
+
+
+def test_run_leaves_one_table(spark, tmp_path):
+    """Tables of a stage go when its rows are written, and those rows when the next stage's are."""
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        assert cp.run(spark, SF).count() > 0
+        left = sorted(p.name.rpartition("-")[0] for p in tmp_path.iterdir())
+        assert [n for n in left if n.startswith("pipeline")] == ["pipeline-mixing"] and set(left) - {"pipeline-mixing"} <= {"packing-tokens", "packing-parts"}
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")

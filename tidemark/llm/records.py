@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_path, table, text_column
+from .common import file_store, fresh_path, table, text_column
 from .tokens import encoder, id_type
 
 NO_ID = -(1 << 63)
@@ -71,18 +71,12 @@ def _parse(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if doc_id == NO_ID else doc_id, np.frombuffer(payload, f"<u{width}", offset=9).astype("<u4")
 
 
-def _store(folder: str):  # noqa: ANN202
-    """The file system of a folder's address (local, hdfs, s3, ...) and the path on it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-
-
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, partitions: int | None = None) -> DataFrame:
     """Encode whole texts, write the record files and the index under `folder`; the index.
 
-    Null text counts as empty. Rows with equal or null doc_id are all kept
-    (nulls first). An empty table gives an empty index. A task that runs again
+    Null text counts as empty; very long texts are encoded whole. Rows with
+    equal or null doc_id are all kept (nulls first), ordered by a hash of the
+    text. An empty table gives an empty index. A task that runs again
     writes a new file; only the file of the run that Spark commits is in the index.
     """
     kind = id_type(tokenizer)
@@ -90,7 +84,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, par
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        store, path = _store(data)
+        store, path = file_store(data)
         store.create_dir(path, recursive=True)
         name = f"{path}/{shard:06d}-{uuid.uuid4().hex}.rec"
         out, at = None, 0
@@ -118,8 +112,9 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, par
         if out is not None:
             out.close()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
-    rows = (rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")).sortWithinPartitions("doc_id")
+    # Equal ids are ordered, and dealt out, by a hash of the text and then the text, so that a hot id is no hot task and the order is always the same.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = (rows.repartitionByRange(partitions, "doc_id", "h") if partitions else rows.repartitionByRange("doc_id", "h")).sortWithinPartitions("doc_id", "h", "text")
     rows.mapInArrow(write, INDEX).write.option("compression", "zstd").parquet(f"{folder}/index")
     return read_index(docs.sparkSession, folder)
 
@@ -136,13 +131,13 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     index = read_index(spark, folder)
     shards = index.groupBy("shard", "file").agg(F.sum("n_tokens").alias("tokens"))
     n_files = max(1, index.select("shard", "file").distinct().count())
-    # One row for each file, so its window in one task has as many rows as there are files.
+    # One row for each file, so its window in one task has as many rows as there are files: one in hundreds of MB of text.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select("shard", "file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
     data = f"{folder}/data"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = _store(data)
+        store, path = file_store(data)
         for batch in batches:
             for shard, file, base in zip(*(batch.column(c).to_pylist() for c in ("shard", "file", "base")), strict=True):
                 with store.open_input_stream(f"{path}/{file}") as f:
@@ -173,7 +168,7 @@ def read_rows(index_rows: DataFrame, folder: str) -> DataFrame:
     data = f"{folder}/data"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = _store(data)
+        store, path = file_store(data)
         opened: dict[str, object] = {}
         for batch in batches:
             out = []

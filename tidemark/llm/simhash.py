@@ -146,15 +146,15 @@ def meet(fps: np.ndarray, reach: int, bits: int, lead: int) -> tuple[np.ndarray,
     return fps[linked], fps[label[linked]]
 
 
-def gathered(fps: DataFrame, reach: int, bits: int, under: np.ndarray | None = None) -> DataFrame:
-    """lead, n: how many variants have these leading bits; under: only those whose first bits - MORE_BITS are among these."""
+def gathered(fps: DataFrame, reach: int, bits: int, under: DataFrame | None = None) -> DataFrame:
+    """lead, n: how many variants have these leading bits; under: only those whose first bits - MORE_BITS are in its column lead."""
     down = 64 - bits
     masks = flips(down, 64, reach)
     left = [len(flips(0, down, reach - k)) for k in range(reach + 1)]
     ways = F.explode(F.array(*(F.struct(F.lit(int(m)).alias("mask"), F.lit(left[k]).cast("long").alias("n")) for m, k in zip(masks.view(np.int64), np.bitwise_count(masks).tolist(), strict=True))))
     sent = fps.select("fp", ways.alias("way")).select(F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("way.mask")), down).alias("lead"), "way.n")
     if under is not None:
-        sent = sent.where(F.shiftrightunsigned("lead", MORE_BITS).isin(under.view(np.int64).tolist()))
+        sent = sent.withColumn("before", F.shiftrightunsigned("lead", MORE_BITS)).join(under.select(F.col("lead").alias("before")), "before", "left_semi")
     return sent.groupBy("lead").agg(F.sum("n").alias("n"))
 
 
@@ -163,11 +163,14 @@ def links(fps: DataFrame, reach: int = REACH) -> DataFrame:
     n = fps.count()
     bits = first = min(64, max(FIRST_BITS, math.ceil(math.log2(max(1, n / USUAL)))))
     hot: dict[int, np.ndarray] = {}
-    while bits < 64:  # of all variants, at most one value of the leading bits in MOST is collected
-        found = [r["lead"] for r in gathered(fps, reach, bits, hot.get(bits - MORE_BITS)).where(F.col("n") > MOST).collect()]
-        if not found:
+    under = None
+    while bits < 64:
+        # A value is hot with more than MOST of the 2,081 variants of each fingerprint, so all of them are at most 8 bytes for each 3,844 fingerprints: 21 MB for 10 billion.
+        under = stored(gathered(fps, reach, bits, under).where(F.col("n") > MOST).select("lead"), "simhash-hot")
+        found = under.toPandas()["lead"].to_numpy(np.int64)
+        if not len(found):
             break
-        hot[bits] = np.array(found, np.int64).view(np.uint64)
+        hot[bits] = found.view(np.uint64)
         bits = min(64, bits + MORE_BITS)
 
     def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
@@ -215,24 +218,29 @@ def groups(rows: DataFrame, reach: int = REACH) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(order).alias("first")), "simhash-fingerprints")
     roots = components(links(fps, reach)).select(F.col("node").alias("fp"), "root")
-    fps = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    whole = fps.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
+    # Both sides of the join on root are read from tables, so that a root with very many fingerprints can be split.
+    fps = stored(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-roots")
+    whole = stored(fps.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("first")), "simhash-components")
     return stored(fps.select("fp", "root").join(whole, "root").select("fp", "component_id", F.col("first.uid").alias("winner")), "simhash-groups")
 
 
 def near_duplicates(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """doc_id, fingerprint, component_id for each row of docs.
 
-    Null text counts as empty; texts without words have fingerprint zero and
-    link like any other; repeated rows and null doc_id are kept; an empty
-    table gives no rows.
+    Null text counts as empty, very long texts are hashed whole; texts without
+    words have fingerprint zero and link like any other; repeated rows and null
+    doc_id are kept; an empty table gives no rows.
     """
     rows = stored(fingerprints(docs, ["doc_id"]).select("uid", "doc_id", "fp"), "simhash-rows")
     return rows.join(groups(rows, reach).select("fp", "component_id"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """The rows of docs, all columns, of which one stands for each group of near copies: the one with the least doc_id."""
+    """The rows of docs, all columns, of which one stands for each group of near copies: the one with the least doc_id.
+
+    Null doc_id comes last; of rows with equal doc_id one stays. Texts without
+    words, null ones too, are one group. An empty table stays empty.
+    """
     rows = stored(fingerprints(docs, docs.columns), "simhash-rows")
     winners = groups(rows.select("uid", "doc_id", "fp"), reach).select(F.col("winner").alias("uid")).distinct()
     # Never a broadcast: winners grow with the documents. Sorting both sides by uid costs one shuffle of the texts, at every size.
