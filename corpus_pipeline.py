@@ -1,8 +1,12 @@
 """The corpus pipeline: quality rules, near-dedup, secret scan, mixing, packing.
 
 Each stage takes all rows that the one before kept; all but the last return
-the columns of documents. run() writes each stage's rows to the shared folder
-and goes on from there.
+the columns of documents, any others too. run() writes each stage's rows to the
+shared folder, goes on from there, and deletes what the stage had put there itself.
+
+Null and empty texts have too few words for the quality rules and go there;
+null doc_id, lang or source stay as they are; of repeated rows near-dedup keeps
+one; an empty table gives no pieces. Texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -11,8 +15,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import mixing, packing, quality_rules, secrets, simhash
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import table
+from tidemark.shared import fresh_path, remove, scratch
 
+#: Whose tokens mixing and packing count.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Shares of tokens that the mixed corpus should have, by domain of `labels`. No document is repeated.
 TARGETS = {"good": 0.97, "toxic": 0.02, "junk": 0.01}
 
@@ -34,12 +41,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by the rates that bring the domains to TARGETS; a rate of 1 or more always stays."""
-    return mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")), TARGETS, max_rate=1.0)
+    return mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")), TARGETS, max_rate=1.0, costs=mixing.token_costs(docs, TOKENIZER))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 4096 tokens, each window with the sources' shares of the mixed corpus."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, with_ids=False)
+    return packing.pack(docs, TOKENIZER, end_id=2, with_ids=False)
 
 
 STAGES = [("quality rules", rules), ("near-dedup", near_dedup), ("secret scan", secret_scan), ("mixing", mix), ("packing", pack)]
@@ -49,7 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        path = fresh_path(spark, f"pipeline-{name.replace(' ', '-')}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
+        if before:
+            remove(before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
