@@ -188,7 +188,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, targets
         return each
 
     placed = tokens.join(parts.select("source", "part", "base"), ["source", "part"])
-    return map_slices(placed, work, PIECES + ", ids binary" * with_ids, rows=1024)
+    # A slice holds a few numbers for each row and source.
+    return map_slices(placed, work, PIECES + ", ids binary" * with_ids, rows=max(16, min(1024, 2_000_000 // max(1, len(names)))))
 
 
 def sequences(pieces: DataFrame, size: int = SIZE, pad_id: int = 0) -> DataFrame:
