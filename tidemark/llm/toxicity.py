@@ -28,13 +28,13 @@ from .labelled import class_sizes, fold, labelled_sample
 from .tokens import ranges
 
 LENGTH, STRIDE = 32, 24
-PER_CLASS, CALIBRATE = 2000, 4
+PER_CLASS, CALIBRATE = 1000, 4
 BUCKETS, WIDTH, HIDDEN = 1 << 16, 6, 8
 #: Lengths of character n-grams, and how much their mean log odds weigh beside those of the word.
 GRAMS, GRAM_WEIGHT = (3, 4, 5), 5
 #: n-grams that are held at once.
 AT_ONCE = 500_000
-EPOCHS, BATCH, RATE = 8, 256, 0.01
+EPOCHS, BATCH, RATE = 5, 256, 0.01
 #: Distinct words a worker remembers; beyond this it starts anew.
 MEMO_WORDS = 300_000
 TRIM = ".,;:!?\"'()[]{}<>|*#$%&-_"
