@@ -136,6 +136,8 @@ def test_shared_folder(spark):
     conf = {"spark.master": "spark://host:7077"}
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=conf.get)))
+    conf["spark.master"] = "local[4]"
+    assert len({shared.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=conf.get))) for _ in range(2)}) == 1
     with shared.scratch(spark):
         rows = shared.stored(spark.range(5), "gone")
         assert rows.count() == 5

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -10,8 +11,9 @@ from contextlib import contextmanager
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-#: The folders of each open scratch block.
+#: The folders of each open scratch block, and the temporary folder of local sessions once there is one.
 _scratch: list[list[str]] = []
+_local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,11 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    import tempfile
-
-    own = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if not _local:
+        _local.append(f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
+    return _local[0]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
