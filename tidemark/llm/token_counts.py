@@ -116,7 +116,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 1024)
 
 
 def op8_digest_cache_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cache lies in the shared folder, so a second run meets the counts of the first."""
+    """The cache of a corpus lies in the shared folder, named by a digest of the tables' address: a second run meets the counts of the first."""
     import public_tokenizers
 
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), f"{shared_dir(spark)}/token-count-cache")
+    cache = f"{shared_dir(spark)}/token-counts-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache)
