@@ -55,7 +55,10 @@ def training_strings(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_wor
 
 
 def train(strings: DataFrame) -> list[float]:
-    """Log-likelihood ratio of each step from one character to the next: SIDE * SIDE numbers, counts smoothed by 1/2."""
+    """Log-likelihood ratio of each step from one character to the next: SIDE * SIDE numbers, counts smoothed by 1/2.
+
+    Two decimals each, as the numbers are part of the plan, which the driver keeps as text.
+    """
     at = lambda c: F.instr(F.lit(ALPHABET), c)
     pairs = F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring(F.col("value"), i, F.lit(2))))
     pairs = strings.where(F.length("value") > 1).select("label", pairs.alias("p"))
@@ -63,7 +66,7 @@ def train(strings: DataFrame) -> list[float]:
     count = {(r["label"], r["a"], r["b"]): r["n"] for r in pairs.groupBy("label", "a", "b").agg(F.count("*").alias("n")).collect()}  # at most 2 * SIDE * SIDE rows
     total = {(label, a): sum(count.get((label, a, b), 0) + 0.5 for b in range(1, SIDE)) for label in (0, 1) for a in range(1, SIDE)}
     step = lambda label, a, b: math.log((count.get((label, a, b), 0) + 0.5) / total[label, a])
-    return [step(1, a, b) - step(0, a, b) if a and b else 0.0 for a in range(SIDE) for b in range(SIDE)]
+    return [round(step(1, a, b) - step(0, a, b), 2) if a and b else 0.0 for a in range(SIDE) for b in range(SIDE)]
 
 
 def _ratios(value: Column, steps: list[float], start: dict[str, Column], then: Callable[[Column, Column, Column], dict[str, Column]]) -> Column:
@@ -277,8 +280,9 @@ def scanned(docs: DataFrame, steps: list[float]) -> DataFrame:
         base.append(F.when(text.rlike(SIEVE[name]), spans).otherwise(none))
     docs = docs.withColumn("base", F.array_sort(F.concat(*base)))
     # Beside patterns' spans both are judged: what they leave of a run, and the run as it stands (a secret may have digits that a pattern takes out of its middle).
-    left = F.when(F.size("base") > 0, _random(_blanked(text, F.col("base")), steps)).otherwise(none)
-    every = once(F.array_sort(F.concat(F.col("base"), _random(text, steps), left)), lambda xs: F.filter(xs, lambda x, k: (k == 0) | (x != F.get(xs, F.greatest(k - 1, F.lit(0))))))
+    both = F.array(text, F.when(F.size("base") > 0, _blanked(text, F.col("base"))).otherwise(""))
+    found = F.flatten(F.transform(both, lambda t: _random(t, steps)))
+    every = once(F.array_sort(F.concat(F.col("base"), found)), lambda xs: F.filter(xs, lambda x, k: (k == 0) | (x != F.get(xs, F.greatest(k - 1, F.lit(0))))))
     return docs.withColumn("spans", every)
 
 
