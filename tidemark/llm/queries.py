@@ -1,6 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from . import quality_sql
+from . import quality_sql, text_sql
+from .contamination import op12_inverted_index_contamination
+from .fill_middle import op13_wavelet_fill_middle
+from .importance import op11_target_resampling
 from .kmeans_tree import op7_kmeans_tree_search
 from .mixing import op2_soft_membership_mixing
 from .packing import op1_mixture_packing
@@ -25,7 +28,15 @@ QUERIES = {
         op8_digest_cache_counts,
         op9_quality_neighbour_vote,
         op10_simhash_near_dedup,
+        op11_target_resampling,
+        op12_inverted_index_contamination,
+        op13_wavelet_fill_middle,
     )
 }
 #: The other operators train models, tokenize, hash with seeds or search by approximation, which SQL cannot express.
-ORACLE_SQL = {"op5_adaptive_quality_rules": quality_sql.SQL}
+ORACLE_SQL = {
+    "op5_adaptive_quality_rules": quality_sql.SQL,
+    "op11_target_resampling": text_sql.RESAMPLING,
+    "op12_inverted_index_contamination": text_sql.CONTAMINATION,
+    "op13_wavelet_fill_middle": text_sql.FILL_MIDDLE,
+}
