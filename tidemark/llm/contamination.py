@@ -287,7 +287,7 @@ def _finder(windows: Windows, size: int, slop: int, merged: bool) -> Callable[[p
         if merged:
             flat = _merged(flat, windows)
         else:
-            flat["items"] = [windows.items[w] for w in flat["items"]]
+            flat["items"] = pd.Series([windows.items[w] for w in flat["items"]], dtype=object)
         flat.insert(0, "segment", int(frame["segment"].iloc[0]))
         return flat
 
@@ -322,7 +322,7 @@ def _merged(flat: pd.DataFrame, windows: Windows) -> pd.DataFrame:
     flat = flat.sort_values(["doc", "first", "last"], kind="stable")
     doc, first, last, window = (flat[c].to_numpy() for c in ("doc", "first", "last", "items"))
     if not len(doc):
-        return pd.DataFrame({"doc": doc, "spans": [], "items": []})
+        return pd.DataFrame({"doc": doc, "spans": pd.Series([], dtype=object), "items": pd.Series([], dtype=object)})
     room = int(last.max()) + 2
     reach = np.maximum.accumulate(last + doc * room)
     new = np.append(True, first[1:] + doc[1:] * room > reach[:-1])
