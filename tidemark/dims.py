@@ -156,3 +156,6 @@ def event_dim(spark: SparkSession) -> DataFrame:
 
 def precursor_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PRECURSORS, "code string, series_id string, fallback_id string, cat string, weight double")
+
+# Weight and scale of the horizons mom, qoq, yoy, t3m and z.
+HORIZON_WEIGHTS = ((0.30, 0.5), (0.25, 2.0), (0.25, 5.0), (0.10, 0.5), (0.10, 1.0))

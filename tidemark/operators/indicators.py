@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from ..dims import LABELS, MODERATE, STRONG
+from ..dims import HORIZON_WEIGHTS, LABELS, MODERATE, STRONG
+from ..shared import stored
+from .ordering import running_sums
 
 
 def by_series() -> WindowSpec:
@@ -24,6 +28,17 @@ def last_n(obs: DataFrame, n: int = 48) -> DataFrame:
     return obs.withColumn("rn", F.row_number().over(Window.partitionBy("series_id").orderBy(F.col("date").desc()))).where(F.col("rn") <= n)
 
 
+def keep_latest(obs: DataFrame, ingest: str = "ingest") -> DataFrame:
+    """Of the observations of a series with one date, that with the greatest `ingest` (a later revision); without the ingest column.
+
+    The functions here count on dates that are unique within a series. This
+    makes them so by a window on the same keys, so that windows which follow need no other shuffle or sort.
+    """
+    order = Window.partitionBy("series_id").orderBy("date", ingest)
+    following = F.lead("date").over(order)
+    return obs.withColumn("_last", following.isNull() | (following != F.col("date"))).where("_last").drop("_last", ingest)
+
+
 def change(new: Column, old: Column) -> Column:
     """Percent change; null for a zero base."""
     return (new - old) / F.nullif(F.abs(old), F.lit(0.0)) * 100
@@ -58,9 +73,8 @@ def history(obs: DataFrame) -> DataFrame:
         F.when(n >= 4, avg(-2, 0, "step")).alias("t3m"),
         F.when((n >= 6) & (F.col("s12") > 0), (v - F.col("m12")) / F.col("s12")).otherwise(0.0).alias("z"),
     )
-    # Weights and scales of the horizons.
-    squash = lambda c, weight, scale: weight * F.tanh(or0(F.col(c)) / scale)
-    score = squash("mom", 0.30, 0.5) + squash("qoq", 0.25, 2.0) + squash("yoy", 0.25, 5.0) + squash("t3m", 0.10, 0.5) + squash("z", 0.10, 1.0)
+    parts = [weight * F.tanh(or0(F.col(c)) / scale) for c, (weight, scale) in zip(("mom", "qoq", "yoy", "t3m", "z"), HORIZON_WEIGHTS, strict=True)]
+    score = reduce(lambda a, b: a + b, parts)
     return out.withColumn("score", F.when(n >= 2, score))
 
 
@@ -112,14 +126,19 @@ def key_cards(rows: DataFrame) -> DataFrame:
 def composite_history(obs: DataFrame, dim: DataFrame) -> DataFrame:
     """currency, date, macro: each series' score carried forward to all dates of its currency (C11).
 
-    The fill is partitioned by currency and series; only the last aggregate has few keys.
+    A sweep over dates: a score counts from its date on, so it adds its
+    difference from the series' score before, and its weight if it is the first.
+    Differences are summed by date, then along the dates of a currency: rows
+    follow the observations, not dates times series. The running sums are of
+    ranges of dates, each begun with the sums of those before it.
     """
-    rows = history(obs).join(dim, "series_id").select("currency", "series_id", "weight", "date", signed(F.col("score"), F.col("cat")).alias("score"))
-    spine = rows.select("currency", "date").distinct().join(dim.select("currency", "series_id", "weight"), "currency")
-    filled = spine.join(rows.drop("weight"), ["currency", "series_id", "date"], "left")
-    past = Window.partitionBy("currency", "series_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    filled = filled.withColumn("score", F.last("score", ignorenulls=True).over(past)).where(F.col("score").isNotNull())
-    return filled.groupBy("currency", "date").agg((F.sum(F.col("score") * F.col("weight")) / F.sum("weight")).alias("macro"))
+    series = Window.partitionBy("currency", "series_id").orderBy("date")
+    rows = history(obs).where("score IS NOT NULL").join(dim, "series_id").select("currency", "series_id", "weight", "date", signed(F.col("score"), F.col("cat")).alias("score"))
+    before = F.lag("score").over(series)
+    steps = rows.select("currency", "date", (F.col("weight") * (F.col("score") - F.coalesce(before, F.lit(0.0)))).alias("up"), F.when(before.isNull(), F.col("weight")).otherwise(0.0).alias("more"))
+    by_date = stored(steps.groupBy("currency", "date").agg(F.sum("up").alias("up"), F.sum("more").alias("more")), "sweep")
+    sums = running_sums(by_date, "currency", "date", ["up", "more"])
+    return sums.select("currency", "date", (F.col("up") / F.col("more")).alias("macro"))
 
 
 def series_fallback(obs: DataFrame, dim: DataFrame) -> DataFrame:

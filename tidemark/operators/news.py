@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..dims import BEARISH, BULLISH, STOP_WORDS
 from ..shared import stored
+from .graph import MOST, greedy_drops
 
 #: Jaccard similarity of titles from which they are one: 11/20.
 NUMER, DENOM = 11, 20
@@ -105,37 +109,16 @@ def near_duplicate_pairs(articles: DataFrame) -> DataFrame:
     return members.select("a", "b", F.lit(1.0).alias("jaccard")).unionByName(similar_sets(sets))
 
 
-def dedup_articles(articles: DataFrame, small: int = 500_000) -> DataFrame:
+def dedup_articles(articles: DataFrame, most: int = MOST) -> DataFrame:
     """seq of the articles kept when each, in order, goes if it is like one kept before (H3).
 
-    Titles that are too short go; those without keywords always stay. In
-    rounds, an article without an earlier undecided neighbour is kept and its
-    neighbours go; only edges between undecided articles are carried on, each
-    round in a table. Once at most `small` edges are left, one task decides them in order.
+    Titles that are too short go; those without keywords always stay. No task
+    decides more than `most` pairs of like titles at once (greedy_drops).
     """
     fit = articles.where(long_enough(F.col("title"))).select("seq", F.size(title_keywords(F.col("title"))).alias("k"))
     free = fit.where("k = 0").select("seq")
     sets = stored(keyword_sets(articles), "dedup-sets")
-    edges = stored(similar_sets(sets).select("a", "b"), "dedup-edges")
-    dropped = None
-    while edges.count() > small:
-        kept = edges.select(F.col("a").alias("seq")).distinct().join(edges.select(F.col("b").alias("seq")), "seq", "left_anti")
-        gone = stored(edges.join(kept.withColumnRenamed("seq", "a"), "a", "left_semi").select(F.col("b").alias("seq")).distinct(), "dedup-gone")
-        dropped = gone if dropped is None else dropped.unionByName(gone)
-        # An edge from a kept article has its other end among those that go.
-        for end in "ab":
-            edges = edges.join(gone.withColumnRenamed("seq", end), end, "left_anti")
-        edges = stored(edges.select("a", "b"), "dedup-edges")
-
-    def greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-        out: set[int] = set()
-        for a, b in pairs.sort_values(["b", "a"], kind="stable").itertuples(index=False):
-            if a not in out:
-                out.add(b)
-        return pd.DataFrame({"seq": sorted(out)}, dtype="int64")
-
-    last = edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pairs: greedy(pairs[["a", "b"]]), "seq long")
-    dropped = last if dropped is None else dropped.unionByName(last)
+    dropped = greedy_drops(similar_sets(sets).select("a", "b"), most)
     return sets.select("seq").join(dropped, "seq", "left_anti").unionByName(free)
 
 
@@ -148,6 +131,51 @@ def match_events(articles: DataFrame, events: DataFrame, text: Column, key: str
     return lower.join(events.select(key, "keywords"), F.exists("keywords", lambda w: F.contains(F.col("text"), w))).select(key, "seq")
 
 
+def match_words(articles: DataFrame, events: DataFrame, text: Column, key: str = "code", block_bytes: int = 16_000_000) -> DataFrame:
+    """The rows of match_events() for long word lists (D7): one pass over each text by an automaton of all words, so that its cost follows the text and what is found, not the number of words.
+
+    Automata go to the tasks in blocks of bounded size, each a pass. Null texts
+    hold no word, an empty word is in every other text; words are compared as they are.
+    """
+    words = stored(events.select(key, F.explode(F.array_distinct("keywords")).alias("word")).where("word IS NOT NULL").distinct(), "words")
+    total = words.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0
+    rows = articles.select("seq", F.lower(text).alias("text")).where("text IS NOT NULL")
+    shape = T.StructType([events.schema[key], T.StructField("seq", rows.schema["seq"].dataType)])
+    blocks, out = max(1, -(-total // block_bytes)), None
+    for block in range(blocks):
+        part = words.where(F.pmod(F.xxhash64(key, "word"), F.lit(blocks)) == block).collect()
+        found = rows.mapInArrow(_word_finder([tuple(r) for r in part], key), shape)
+        out = found if out is None else out.unionByName(found)
+    return out if blocks == 1 else out.distinct()
+
+
+def _word_finder(pairs: list[tuple], key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ahocorasick import Automaton
+
+        by_word: dict[str, list] = {}
+        for k, word in pairs:
+            by_word.setdefault(word, []).append(k)
+        always, automaton = by_word.pop("", []), Automaton()
+        for word, keys in by_word.items():
+            automaton.add_word(word, keys)
+        automaton.make_automaton()
+        find = automaton.iter if by_word else lambda text: ()
+        for batch in batches:
+            kind, keys, at = batch.schema.field("seq").type, [], []
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                for seq, text in zip(part.column("seq").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    hit = {id(x): x for _, x in find(text)}
+                    there = {k for x in (always, *hit.values()) for k in x}
+                    keys += there
+                    at += [seq] * len(there)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(at, kind)], names=[key, "seq"])
+
+    return run
+
+
 def first_wires(articles: DataFrame, assets: DataFrame, n: int = 65) -> DataFrame:
     """asset, seq, wire: the first article for each asset (D6); partial aggregation, no sort."""
     hits = match_events(articles, assets, F.col("title"), "asset").join(articles.select("seq", "title"), "seq")

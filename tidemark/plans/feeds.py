@@ -12,7 +12,8 @@ from ..operators import indicators as I
 from ..operators import news as N
 from ..operators import registry as R
 from ..operators import scores as S
-from ..sources import readers
+from ..operators.ordering import numbered
+from ..sources import readers, store
 from ..shared import stored
 from . import model as M
 from . import series
@@ -74,13 +75,26 @@ CHANNELS = 4
 @query(f"""WITH {ARTICLES}, f AS (SELECT feed, row_number() OVER (ORDER BY feed) - 1 AS feed_rank FROM (SELECT DISTINCT feed FROM articles)), r AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY seq) AS item_rank FROM articles)
  SELECT CAST(feed_rank AS INTEGER) AS feed_rank, item_rank, title, description, feed AS published_at FROM r JOIN f USING (feed) WHERE item_rank <= CASE WHEN feed_rank < {CHANNELS} THEN 10 ELSE 4 END""")
 def union_feeds(spark: SparkSession, sf: str) -> DataFrame:
-    """A4: the first items of every source; the window over the distinct sources has a row for each."""
+    """A4: the first items of every source."""
     rows = M.articles(spark, sf).withColumn("published_at", F.col("feed"))
-    rank = F.row_number().over(Window.orderBy("feed")) - 1
-    feeds = rows.select("feed").distinct().select("feed", rank.alias("feed_rank")).withColumn("keep", F.when(F.col("feed_rank") < CHANNELS, 10).otherwise(4))
+    feeds = _feeds(rows).withColumn("keep", F.when(F.col("feed_rank") < CHANNELS, 10).otherwise(4))
     return readers.union_feeds(rows, feeds)
 
 
+def _feeds(rows: DataFrame) -> DataFrame:
+    """feed, feed_rank by name."""
+    feeds = numbered(stored(rows.select("feed").distinct(), "feeds"), "feed", name="feed_rank")
+    return feeds.withColumn("feed_rank", F.col("feed_rank").cast("int"))
+
+
+@query(f"""WITH {ARTICLES}, f AS (SELECT feed, row_number() OVER (ORDER BY feed) - 1 AS feed_rank FROM (SELECT DISTINCT feed FROM articles))
+ SELECT seq, feed, CAST(feed_rank AS INTEGER) AS feed_rank, row_number() OVER (ORDER BY feed_rank, seq) - 1 AS at FROM articles JOIN f USING (feed)""")
+def feed_order(spark: SparkSession, sf: str) -> DataFrame:
+    """A4: all articles as one list with their places in it."""
+    rows = M.articles(spark, sf).select("seq", "feed")
+    return readers.feed_order(rows, _feeds(rows)).select("seq", "feed", "feed_rank", "at")
+
+
 @query(f"WITH {REGISTRY} SELECT * FROM registry")
 def read_registry(spark: SparkSession, sf: str) -> DataFrame:
     """A5: the registry written as JSON rows and read with its stated schema."""
@@ -114,6 +128,19 @@ def write_outbox(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).select("chat_id", F.col("kind").cast("string").alias("kind"), "message")
 
 
+@query(f"""WITH {REGISTRY}, u AS (SELECT DISTINCT 'K' || o_custkey AS key FROM orders WHERE o_orderpriority = '1-URGENT'), v AS (SELECT r.key, status, telegram_id, u.key IS NOT NULL AS hit FROM registry r LEFT JOIN u ON u.key = r.key)
+ SELECT key, CASE WHEN hit THEN 'Revoked' ELSE status END AS status, CASE WHEN key LIKE '%7' THEN '' ELSE telegram_id END AS telegram_id FROM v""")
+def stored_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """A5: the registry saved, changed twice in the store, and loaded."""
+    folder = M.scratch(spark, "registry-store")
+    keys = M.table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("K"), F.col("o_custkey").cast("string")).alias("key"))
+    edits = keys.distinct().select(F.lit(1).alias("seq"), "key", F.lit("revoke").alias("op"), F.lit("").alias("arg"))
+    store.save_registry(M.registry(spark, sf), folder)
+    store.change_registry(spark, folder, lambda rows: R.apply_edits(rows, edits))
+    store.change_registry(spark, folder, lambda rows: rows.withColumn("telegram_id", F.when(F.col("key").endswith("7"), "").otherwise(F.col("telegram_id"))))
+    return store.load_registry(spark, folder).select("key", "status", "telegram_id")
+
+
 @query(f"WITH {ARTICLES} SELECT seq FROM articles WHERE length({TRIM}) >= 14")
 def title_length_filter(spark: SparkSession, sf: str) -> DataFrame:
     return M.articles(spark, sf).where(N.long_enough(F.col("title"))).select("seq")
@@ -356,3 +383,44 @@ def stream_sentiment(spark: SparkSession, sf: str) -> DataFrame:
 
     windows = X.sliding(X.as_articles(M.table(spark, sf, "events")), UP, DOWN).select(F.unix_micros("window.start").alias("start"), "n", "delta")
     return S.asset_points(windows, M.rows(spark, series.ASSET_ROWS, "asset string")).select("start", "asset", (F.round("points", 6) + 0.0).alias("points"))
+
+
+# Streams over the events, run to their end; a row after all others moves the watermark past them.
+def _stream(spark: SparkSession, rows: DataFrame, time: str, name: str) -> DataFrame:
+    last = rows.agg(F.max(time).alias(time)).select((F.col(time) + F.expr("INTERVAL 100 DAYS")).alias(time), *(F.lit("0").cast(kind).alias(c) for c, kind in rows.dtypes if c != time))
+    path = M.scratch(spark, name)
+    rows.unionByName(last).write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
+@query(f"WITH {BOUND} SELECT key, dev_type, login_id, coalesce(device_id, '') AS device_id FROM b WHERE coalesce(bound <> coalesce(device_id, ''), FALSE)")
+def live_device_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """J4 as a stream: each violation, of logins in the order of their times."""
+    from ..streaming import streams as X
+
+    logins = M.logins(spark, sf).withColumn("login_ts", F.col("login_ts").cast("timestamp"))
+    return X.drained(X.device_violations(_stream(spark, logins, "login_ts", "logins")), M.scratch(spark, "violations"))
+
+
+@query(SQL["stream_weekend_alerts"])
+def live_weekend_alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """J2 as a stream: the alerts of each tick as the watermark closes it."""
+    from ..streaming import streams as X
+
+    articles = X.as_articles(M.table(spark, sf, "events")).select("ts", F.col("event_id").alias("seq"), "title")
+    return X.drained(X.tick_alerts(_stream(spark, articles, "ts", "articles"), words=URGENT), M.scratch(spark, "alerts")).withColumnRenamed("seq", "event_id")
+
+
+@query(f"""WITH {REGISTRY}, a AS (SELECT DISTINCT trim(telegram_id) AS chat_id FROM registry WHERE status = 'Active' AND trim(telegram_id) <> ''), l AS (SELECT {LOCAL} AS l, {EVENT_TEXT} AS title FROM events),
+ u AS (SELECT DISTINCT 'alert ' || CAST(CAST(l AS DATE) - CAST(isodow(l) - 6 AS INTEGER) AS DATE) AS kind, title AS message FROM l WHERE isodow(l) >= 6 AND {hit("lower(title)", URGENT)})
+ SELECT chat_id, kind, message FROM a CROSS JOIN u""")
+def live_outbox(spark: SparkSession, sf: str) -> DataFrame:
+    """A6 as a stream: each weekend's urgent titles, once for every recipient, from the batches written whole."""
+    from ..streaming import streams as X
+
+    articles = X.as_articles(M.table(spark, sf, "events")).select("ts", F.col("event_id").alias("seq"), "title")
+    alerts = X.weekend_alerts(_stream(spark, articles, "ts", "articles"), URGENT)
+    messages = alerts.select(F.concat(F.lit("alert "), F.col("weekend").cast("string")).alias("kind"), F.col("title").alias("message"))
+    folder = M.scratch(spark, "outbox-stream")
+    X.run_to_end(messages, X.outbox_writer(stored(R.recipients(M.registry(spark, sf)), "recipients"), folder), M.scratch(spark, "outbox-checkpoint"))
+    return X.read_outbox(spark, folder).select("chat_id", "kind", "message")

@@ -83,6 +83,27 @@ def mtf_latest(spark: SparkSession, sf: str) -> DataFrame:
     return I.latest(M.observations(spark, sf)).select("series_id", micros(), r("value"), *map(r, ALL))
 
 
+DAILY = "daily AS (SELECT user_id AS series_id, CAST(ts AS DATE) AS date, event_id AS ingest, value FROM events), revised AS (SELECT * FROM daily QUALIFY row_number() OVER (PARTITION BY series_id, date ORDER BY ingest DESC) = 1)"
+
+
+@query(f"WITH {DAILY}, {metrics('revised')} SELECT series_id, date, n, {r6('value')} AS value, {', '.join(f'{r6(c)} AS {c}' for c in ALL)} FROM hist")
+def revised_history(spark: SparkSession, sf: str) -> DataFrame:
+    """C2 to C9 of a series whose days come several times: the last to come in counts."""
+    daily = M.table(spark, sf, "events").select(F.col("user_id").alias("series_id"), F.to_date("ts").alias("date"), F.col("event_id").alias("ingest"), "value")
+    return I.history(I.keep_latest(daily)).select("series_id", "date", "n", r("value"), *map(r, ALL))
+
+
+@query(f"WITH {OBS}, {metrics('obs')} SELECT series_id, {SQL_MICROS}, {r6('value')} AS value, n, {', '.join(f'{r6(c)} AS {c}' for c in ALL)} FROM hist")
+def live_history(spark: SparkSession, sf: str) -> DataFrame:
+    """C2 to C8 as a stream over the events, in any order within a batch."""
+    from ..streaming import streams as X
+    from .feeds import _stream
+
+    obs = M.table(spark, sf, "events").select(F.col("user_id").alias("series_id"), F.col("ts").cast("timestamp").alias("date"), F.col("event_id").alias("id"), "value")
+    rows = X.drained(X.live_history(_stream(spark, obs, "date", "observations")), M.scratch(spark, "history"))
+    return rows.select("series_id", F.col("at").alias("micros"), r("value"), F.col("n").cast("int").alias("n"), *map(r, ALL))
+
+
 @query(f"""WITH {OBS}, l AS (SELECT series_id, value, row_number() OVER (PARTITION BY series_id ORDER BY date DESC) AS rn FROM obs QUALIFY rn <= 20),
  b AS (SELECT *, count(*) OVER w AS m, min(value) OVER w AS lo, max(value) OVER w AS hi, arg_max(value, rn) OVER w AS f, arg_min(value, rn) OVER w AS l FROM l WINDOW w AS (PARTITION BY series_id))
  SELECT series_id, CAST(m - rn AS INTEGER) AS i, round((m - rn) / (m - 1) * 80.0, 4) + 0.0 AS x, round(32.0 - (value - lo) / coalesce(nullif(hi - lo, 0), 1) * 32.0, 4) + 0.0 AS y, l > f AS good FROM b WHERE m >= 2""")
@@ -269,6 +290,16 @@ def correlated_articles(spark: SparkSession, sf: str) -> DataFrame:
     return hits.join(top, ["code", "seq"], "left").withColumn("top", F.coalesce("top", F.lit(False)))
 
 
+@query("""WITH w AS (SELECT item_id AS code, list_distinct(regexp_extract_all(lower(text), '[a-z]{8,}')) AS keywords FROM benchmark)
+ SELECT code, count(*) AS n, min(doc_id) AS first FROM documents JOIN w ON len(list_filter(keywords, lambda k: contains(lower(text), k))) > 0 GROUP BY code""")
+def correlated_by_long_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """D7 for long lists: benchmark items as events, with all their longer words."""
+    items = M.table(spark, sf, "benchmark")
+    events = items.select(F.col("item_id").alias("code"), F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0))).alias("keywords"))
+    hits = N.match_words(M.table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), "text"), events, F.col("text"))
+    return hits.groupBy("code").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+
+
 NOWCAST = f"{MONTHLY}, {metrics('monthly', 'm')}, {PRE}, {ARTICLES}, {EV}, {NOW}"
 
 

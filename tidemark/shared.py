@@ -7,12 +7,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-#: The folders of each open scratch block, and the temporary folder of local sessions once there is one.
-_scratch: list[list[str]] = []
+#: The folders of the innermost open scratch block of this thread or task, and the temporary folder of local sessions once there is one.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 _local: list[str] = []
 
 
@@ -35,7 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for own in _scratch[-1:]:
+    own = _scratch.get()
+    if own is not None:
         own.append(path)
     return path
 
@@ -61,9 +63,9 @@ def remove(folder: str) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[], None]]:
-    """Deletes, when the block ends or the given function is called, what stored() and fresh_path() have put into the shared folder within it."""
+    """Deletes, when the block ends or the given function is called, what stored() and fresh_path() have put into the shared folder within it, in the same thread."""
     own: list[str] = []
-    _scratch.append(own)
+    outer = _scratch.set(own)
 
     def clear() -> None:
         for folder in own:
@@ -73,5 +75,5 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[], None]]:
     try:
         yield clear
     finally:
-        _scratch.remove(own)
+        _scratch.reset(outer)
         clear()

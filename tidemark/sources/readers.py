@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import stored
+
 REGISTRY = "client_name string, key string, telegram_id string, duration string, created_at string, expires_at string, status string, bound_mobile_id string, bound_pc_id string, bound_at string"
 SESSION = "struct<key:string,dev_type:string,last_active:string,user_name:string,expiry_info:string,is_admin:boolean>"
 
@@ -48,8 +50,7 @@ def read_sessions(spark: SparkSession, path: str, whole: bool = True) -> DataFra
 def union_feeds(items: DataFrame, feeds: DataFrame) -> DataFrame:
     """The first `keep` items (feed, seq, title, description, published_at) of each feed as one table with the order key (feed_rank, item_rank) (A4).
 
-    feeds (feed, feed_rank, keep) lists channels, then RSS feeds. No dense
-    number: that would need all rows in one task.
+    feeds (feed, feed_rank, keep) lists channels, then RSS feeds. feed_order() numbers all of them.
     """
     from ..operators.news import top_per_key
 
@@ -58,6 +59,14 @@ def union_feeds(items: DataFrame, feeds: DataFrame) -> DataFrame:
     return rows.where("item_rank <= keep").select("feed_rank", "item_rank", "title", "description", "published_at")
 
 
+def feed_order(items: DataFrame, feeds: DataFrame) -> DataFrame:
+    """items (feed, seq, any other columns) with feed_rank and `at`, their places from 0 in one list by feed and, within it, seq (A4): no gaps, and no task with all rows of the list or of a feed."""
+    from ..operators.ordering import numbered
+
+    rows = items.join(feeds.select("feed", "feed_rank"), "feed")
+    return numbered(stored(rows, "feed-items"), "feed_rank", "seq")
+
+
 class _Texts(HTMLParser):
     """Texts of elements of one tag and class, and one attribute of elements of another."""
 
