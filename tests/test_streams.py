@@ -1,8 +1,13 @@
 """Streams over files give the rows of their batch forms."""
 
+import datetime
+import os
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import indicators as I
 from tidemark.operators.registry import first_binding
 from tidemark.plans import feeds
 from tidemark.plans import model as M
@@ -24,14 +29,127 @@ def drain(df, name, tmp_path, mode="append"):
     return df.sparkSession.table(name)
 
 
-@pytest.mark.parametrize(("name", "f"), [("hourly", X.hourly), ("sliding", X.sliding)])
-def test_windows(events, tmp_path, name, f):
+def test_hourly(events, tmp_path):
     batch, stream = events
-    want = {tuple(r) for r in f(X.as_articles(batch), feeds.UP, feeds.DOWN).select("window", "n").collect()}
-    got = drain(f(X.as_articles(stream).withWatermark("ts", "1 hour"), feeds.UP, feeds.DOWN), name, tmp_path, "complete")
+    want = {tuple(r) for r in X.hourly(X.as_articles(batch), feeds.UP, feeds.DOWN).select("window", "n").collect()}
+    got = drain(X.hourly(X.as_articles(stream).withWatermark("ts", "1 hour"), feeds.UP, feeds.DOWN), "hourly", tmp_path, "complete")
     assert {tuple(r) for r in got.select("window", "n").collect()} == want
 
 
+def batches(spark, tmp_path, rows, schema, sizes, name="in"):
+    """A stream that takes the rows in micro-batches of the given sizes, a file each, in order."""
+    folder, at = tmp_path / name, 0
+    folder.mkdir()
+    for k, size in enumerate(sizes):
+        part = tmp_path / f"{name}-{k}"
+        spark.createDataFrame(rows[at : at + size], schema).coalesce(1).write.parquet(str(part))
+        file = next(part.glob("*.parquet"))
+        os.utime(file, (1_000_000 + 10 * k,) * 2)
+        file.rename(folder / f"{k:04d}.parquet")
+        at += size
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def dealt(n, pick):
+    sizes = []
+    while sum(sizes) < n:
+        sizes.append(min(pick.choice([1, 2, 3, 5, 8, 40]), n - sum(sizes)))
+    return sizes
+
+
+def within(rows, late, pick):
+    """The rows, by time, out of order by less than `late`."""
+    return sorted(rows, key=lambda r: (r[0] + pick.random() * late, r[1:2]))
+
+
+LATE = datetime.timedelta(minutes=50)
+START = datetime.datetime(2024, 1, 5, 20)
+
+
+def test_sliding_panes(spark, events, tmp_path):
+    """Panes give the windows that articles dealt to twelve windows each give; on a stream, of those the watermark has closed."""
+    batch, _ = events
+    rows = X.as_articles(batch)
+    plain = rows.groupBy(F.window("ts", "1 hour", "5 minutes")).agg(*X._delta(feeds.UP, feeds.DOWN))
+    want = {(r["window"]["start"], r["n"], round(r["delta"], 9)) for r in plain.collect()}
+    panes = X.sliding(rows, feeds.UP, feeds.DOWN)
+    assert {(r["window"]["start"], r["n"], round(r["delta"], 9)) for r in panes.collect()} == want
+    times = [(r["ts"], r["event_id"], r["title"]) for r in rows.orderBy("ts").collect()]
+    times.append((times[-1][0] + datetime.timedelta(days=3), -1, "end"))
+    stream = batches(spark, tmp_path, times, "ts timestamp, event_id long, title string", [100, 150, 150, 1], "panes-in").withWatermark("ts", "1 hour")
+    got = X.drained(X.sliding(stream, feeds.UP, feeds.DOWN), str(tmp_path / "panes"))
+    assert {(r["window"]["start"], r["n"], round(r["delta"], 9)) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_device_violations_in_any_order(spark, tmp_path, seed):
+    """Logins out of order within the watermark, dealt to any micro-batches, give the violations of the batch form."""
+    pick = random.Random(seed)
+    rows = [(START + datetime.timedelta(minutes=pick.randint(0, 900)), k, pick.randint(1, 3), pick.choice(["PC", "Mobile"]), pick.choice(["", None, "d1", "d2"])) for k in range(120)]
+    schema = "login_ts timestamp, login_id long, key long, dev_type string, device_id string"
+    want = {(r["key"], r["dev_type"], r["login_id"]) for r in first_binding(spark.createDataFrame(rows, schema)).where("violation").collect()}
+    sent = [*within(rows, LATE, pick), (START + datetime.timedelta(days=30), 999, 9, "PC", "x")]
+    stream = batches(spark, tmp_path, sent, schema, [*dealt(len(rows), pick), 1])
+    got = X.drained(X.device_violations(stream), str(tmp_path / "out")).collect()
+    assert {(r["key"], r["dev_type"], r["login_id"]) for r in got} == want and len(got) == len(want) > 10
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_tick_alerts_in_any_batching(spark, tmp_path, seed):
+    """A weekend replayed in any micro-batches, ticks split or several in one, gives the alerts of the batch form."""
+    pick = random.Random(seed)
+    rows = [(START + datetime.timedelta(minutes=pick.randint(0, 3600)), k, pick.choice(["calm", "war now", "missile", "crisis", "quiet", None])) for k in range(160)]
+    schema = "ts timestamp, seq long, title string"
+    df = spark.createDataFrame(rows, schema).where(F.weekday("ts") >= 5)
+    ticked = df.select(F.date_sub(F.to_date("ts"), F.weekday("ts") - 5).alias("weekend"), F.date_trunc("hour", "ts").alias("tick"), "seq", "title", F.coalesce(X.any_word(F.lower("title"), X.EMERGENCY), F.lit(False)).alias("urgent"))
+    want = {tuple(r) for r in X.first_of_ticks(ticked).collect()}
+    sent = [*within(rows, LATE, pick), (START + datetime.timedelta(days=30), 999, "war now")]
+    stream = batches(spark, tmp_path, sent, schema, [*dealt(len(rows), pick), 1])
+    got = [tuple(r) for r in X.drained(X.tick_alerts(stream), str(tmp_path / "out")).collect()]
+    assert set(got) == want and len(got) == len(want) >= 3
+
+
+def test_live_history_in_any_order(spark, tmp_path):
+    """Observations out of order and dates that come twice give the rows of the batch form."""
+    pick = random.Random(5)
+    rows = [(START + datetime.timedelta(hours=pick.randint(0, 60)), k, pick.randint(1, 2), float(pick.choice([0, 1, 2, -3, 5.5]))) for k in range(90)]
+    schema = "date timestamp, id long, series_id long, value double"
+    obs = spark.createDataFrame(rows, schema).withColumnRenamed("id", "ingest")
+    columns = ["n", "mom", "qoq", "yoy", "t3m", "z", "score"]
+    plain = lambda r: tuple(None if r[c] is None else round(r[c], 9) for c in columns)
+    want = {(r["series_id"], r["at"], plain(r)) for r in I.history(I.keep_latest(obs)).withColumn("at", F.unix_micros("date")).collect()}
+    sent = [*within(rows, LATE, pick), (START + datetime.timedelta(days=30), 999, 9, 0.0)]
+    stream = batches(spark, tmp_path, sent, schema, [*dealt(len(rows), pick), 1])
+    got = X.drained(X.live_history(stream), str(tmp_path / "out")).collect()
+    assert {(r["series_id"], r["at"], plain(r)) for r in got} == want and len(got) == len(want)
+
+
+def test_outbox_survives_a_stop(spark, tmp_path):
+    """A batch that failed after its messages were written, and one cut off while writing, leave each message once."""
+    rows = [(START + datetime.timedelta(minutes=k), "report", f"message {k}") for k in range(12)]
+    stream = batches(spark, tmp_path, rows, "ts timestamp, kind string, message string", [4, 4, 4])
+    to = spark.createDataFrame([("a",), ("b",), ("a",)], "chat_id string")
+    folder, checkpoint = str(tmp_path / "outbox"), str(tmp_path / "checkpoint")
+    write = X.outbox_writer(to, folder)
+
+    def stops(batch, number):
+        write(batch, number)
+        if number == 1:
+            raise RuntimeError("stopped")
+
+    with pytest.raises(Exception, match="stopped"):
+        X.run_to_end(stream, stops, checkpoint)
+    for part in (tmp_path / "outbox" / "batch=1").glob("part-*"):
+        (part.parent / f"{part.stem}-again.parquet").write_bytes(part.read_bytes())  # a doubled file of the batch that failed
+    (tmp_path / "outbox" / "batch=1" / "_SUCCESS").unlink()
+    assert {r["batch"] for r in X.read_outbox(spark, folder).collect()} == {0}
+    X.run_to_end(stream, write, checkpoint)
+    X.run_to_end(stream, write, checkpoint)
+    got = [(r["chat_id"], r["message"]) for r in X.read_outbox(spark, folder).collect()]
+    assert sorted(got) == sorted((c, m) for c in "ab" for _, _, m in rows)
+    assert X.read_outbox(spark, str(tmp_path / "nothing")).collect() == []
+
+
 def test_weekend_alerts(events, tmp_path):
     batch, stream = events
     want = {tuple(r) for r in X.urgent(X.as_articles(batch), feeds.URGENT).select("weekend", "title").distinct().collect()}
@@ -46,31 +164,6 @@ def test_sessions(events, tmp_path):
     assert drain(X.sessions(activity, "1 hour"), "sessions", tmp_path, "complete").agg(F.sum("n")).first()[0] == 400
 
 
-def test_device_violations(spark, events, tmp_path):
-    batch, stream = events
-    kind = F.when(F.col("event_type").isin("error", "click"), "Mobile").otherwise("PC")
-    logins = lambda df: df.select(F.col("ts").cast("timestamp").alias("login_ts"), F.col("event_id").alias("login_id"), F.col("user_id").alias("key"), kind.alias("dev_type"), F.col("props").alias("device_id"))
-    want = {r["login_id"] for r in first_binding(logins(batch)).where("violation").collect()}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    got = drain(X.device_violations(logins(stream)), "violations", tmp_path, "append")
-    assert {r["login_id"] for r in got.collect()} == want
-
-
-def test_tick_alerts(spark, tmp_path):
-    """One alert a tick: the first unseen urgent title among the first four articles of the tick."""
-    ticks = [[("w", 1, "calm", False), ("w", 2, "war", True), ("w", 3, "attack", True)], [("w", 4, "war", True), ("w", 5, "attack", True)], [("w", 6, "war", True), *(("w", 7 + k, f"calm {k}", False) for k in range(3)), ("w", 11, "crisis", True)]]
-    schema = "weekend date, seq long, title string, urgent boolean"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    got = []
-    for k, tick in enumerate(ticks):
-        spark.createDataFrame([(None, *r[1:]) for r in tick], schema).withColumn("weekend", F.lit("2024-01-06").cast("date")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        q = X.tick_alerts(stream, keep_ms=None).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination(120)
-        got.append({r["title"] for r in spark.read.schema("weekend date, seq long, title string").parquet(str(tmp_path / "out")).collect()})
-    assert got == [{"war"}, {"war", "attack"}, {"war", "attack"}]
-
-
 def test_hourly_report_of_a_stream(spark, events, tmp_path):
     batch, stream = events
     macro = spark.createDataFrame([("USD", 0.2), ("Gold", -0.4)], "asset string, macro double")

@@ -51,14 +51,19 @@ def _last_number(spark: SparkSession, folder: str) -> int:
 
 
 def commit(spark: SparkSession, folder: str, write: Callable[[str], None], after: int | None = None) -> int:
-    """Lets write(path) put the data of the next version into a new folder, then makes it the newest; after= is the number that must still be the last."""
+    """Lets write(path) put the data of the next version into a new folder, then makes it the newest; data of a write that fails are deleted. after= is the number that must still be the last."""
     number = (_last_number(spark, folder) if after is None else after) + 1
     name = f"data-{number}-{uuid.uuid4().hex}"
-    write(f"{folder}/{name}")
-    store, marker = _path(spark, f"{folder}/_versions/{number:020d}")
-    if store.exists(marker):
-        raise Conflict(f"version {number} of {folder} is there already")
-    out = store.create(marker, False)  # raises if another writer was faster
+    try:
+        write(f"{folder}/{name}")
+        store, marker = _path(spark, f"{folder}/_versions/{number:020d}")
+        if store.exists(marker):
+            raise Conflict(f"version {number} of {folder} is there already")
+        out = store.create(marker, False)  # raises if another writer was faster
+    except Exception:
+        store, data = _path(spark, f"{folder}/{name}")
+        store.delete(data, True)
+        raise
     out.write(bytearray(name.encode()))
     out.close()
     return number
