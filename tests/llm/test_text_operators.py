@@ -237,7 +237,28 @@ def test_sketches_merge_and_are_close(spark):
     df = spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_shouts long")
     q = quality_rules.quantiles(quality_rules.sketches(df), []).where("measure = 'symbols'").first()
     assert q["size"] == 1000
-    assert abs(q["q25"] - 2490) <= 2490 / 32 + 10 and abs(q["q75"] - 7490) <= 7490 / 32 + 10
+    assert abs(q["low"] - 2490) <= 2490 / 32 + 10 and abs(q["high"] - 7490) <= 7490 / 32 + 10
+
+
+def test_limits_come_from_the_sketches(spark):
+    """On the given documents limits differ from source to source, take in no clean document and leave out all labelled junk; no cutoff is stated anywhere."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    limits = quality_rules.thresholds(quality_rules.sketches(quality_rules.measured(docs, ["doc_id"]))).collect()
+    assert len({r["max_word_length"] for r in limits}) > 20 and len({r["max_repeats"] for r in limits}) > 20
+    got = quality_rules.judged(docs, ["doc_id"]).where("NOT base_failed").select("row.doc_id", "kept").join(labels, "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r["quality"], r["kept"]): r["count"] for r in got}
+    assert n.get((0, True), 0) == 0 and n[0, False] > 200
+    assert n.get((1, False), 0) <= 0.001 * n[1, True]
+
+
+def test_chance_is_allowed_and_no_more(spark):
+    """Where all documents are without symbols, a few pass in any text and a share of the words does not; a source of long words has its own limit."""
+    pick = random.Random(2)
+    text = lambda k, n, size=5: " ".join("".join(pick.choices("abcdefghij", k=size + pick.randint(0, 2))) for _ in range(n))
+    rows = [(k, text(k, 60 + k % 40), "en", "short") for k in range(80)] + [(100 + k, text(k, 60 + k % 40, 14), "en", "long") for k in range(80)]
+    rows += [(300, text(1, 70) + " # #", "en", "short"), (301, text(1, 70) + " #" * 20, "en", "short"), (302, text(3, 80, 14), "en", "short")]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), ["doc_id"]).select("row.doc_id", "kept").collect()}
+    assert {k for k, v in got.items() if not v} == {301, 302}
 
 
 def brute_components(rows, most):

@@ -6,12 +6,17 @@ sketches merge by adding counts, so partial aggregation builds them before the
 shuffle and the sketches of a language, or of everything, are sums of those of
 its sources. A quantile read from one is off by at most 1/32 of its value.
 
-A document passes if each measure is at most
-q75 + 3 * max(q75 - q25, tolerance) of its own (lang, source) group. The
-tolerance keeps a group whose values are all alike from rejecting the
-slightest difference. One formula holds for groups of every size: the quartiles
-of a group of n documents are (n * own + PRIOR * those of its language) /
-(n + PRIOR), and those of a language lean on the whole table's in the same way.
+Each measure is a count over a number of units (symbols over words, say), and
+its sketch holds the documents' rates. Two quantiles of a group are read from
+the sketch. A document passes a measure if its rate is at most the upper one
+plus FENCE times its distance to the lower one, or if its count is no more than
+chance makes of the upper rate: E + NOISE * sqrt(clump * (E + clump)), with
+E counts expected, for counts that come in clumps. So where a group's documents
+are all alike only chance is allowed, of which a short text has more than a
+long one, and no cutoff is stated. One formula holds
+for groups of every size: the quantiles of a group of n documents are
+(n * own + PRIOR * those of its language) / (n + PRIOR), and those of a
+language lean on the whole table's in the same way.
 """
 
 from __future__ import annotations
@@ -31,16 +36,16 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 SYMBOLS = b"#*$%&|<>"
 #: Capitals and exclamation marks.
 SHOUTS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ!"
-#: measure -> (numerator, denominator, tolerance), in thousandths.
+#: measure -> (count, units, lower and upper quantile in percent, least clump: a window of three words that repeats makes six words).
 MEASURES = {
-    "symbols": ("n_symbols", "n_words", 30),
-    "dup_lines": ("n_dup_lines", "n_lines", 170),
-    "repeats": ("n_repeat_words", "n_words", 130),
-    "shouts": ("n_shouts", "word_chars", 100),
-    "word_length": ("word_chars", "n_words", 2000),
+    "symbols": ("n_symbols", "n_words", 25, 75, 1),
+    "dup_lines": ("n_dup_lines", "n_lines", 25, 75, 1),
+    "repeats": ("n_repeat_words", "n_words", 50, 95, 6),
+    "shouts": ("n_shouts", "word_chars", 50, 95, 1),
+    "word_length": ("word_chars", "n_words", 25, 75, 1),
 }
-MIN_WORDS, MAX_REPEAT_PERCENT, FENCE = 50, 50, 3
-#: Documents that the wider group counts for in the quartiles of a group.
+MIN_WORDS, MAX_REPEAT_PERCENT, FENCE, NOISE = 50, 50, 3, 4
+#: Documents that the wider group counts for in the quantiles of a group.
 PRIOR = 10
 
 
@@ -89,10 +94,18 @@ def base_failed() -> Column:
 
 
 def _value(name: str) -> Column:
-    over, under, _ = MEASURES[name]
+    over, under, *_ = MEASURES[name]
     return F.expr(f"1000 * {over} div greatest({under}, 1)")
 
 
+def within(name: str) -> str:
+    """SQL of Spark and DuckDB: whether a document's count is within its group's limit max_<name> or chance at its rate high_<name>."""
+    over, under, _, _, clump = MEASURES[name]
+    units = f"greatest({under}, 1)"
+    beyond = f"CAST(1000 * {over} - high_{name} * {units} AS DOUBLE)"
+    return f"(1000 * {over} <= max_{name} * {units} OR {beyond} * {beyond} <= {1000 * NOISE * NOISE * clump} * CAST(high_{name} * {units} + {1000 * clump} AS DOUBLE))"
+
+
 def sketches(rows: DataFrame) -> DataFrame:
     """lang, source, measure, bucket, top (largest value of the bucket), n."""
     values = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), _value(m).alias("value")) for m in MEASURES)))
@@ -103,26 +116,26 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge the sketches by the keys and read the quartiles: keys, measure, size, q25, q75."""
+    """Merge the sketches by the keys and read the two quantiles of each measure: keys, measure, size, low, high."""
     merged = sketch.groupBy(*keys, "measure", "top").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "measure")
     upto = F.sum("n").over(group.orderBy("top"))
     merged = merged.select(*keys, "measure", "top", upto.alias("upto"), F.sum("n").over(group).alias("size"))
-    least = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("size") * percent, F.col("top")))
-    return merged.groupBy(*keys, "measure").agg(F.max("size").alias("size"), least(25).alias("q25"), least(75).alias("q75"))
+    level = lambda k: F.create_map(*(F.lit(x) for m, spec in MEASURES.items() for x in (m, spec[k])))[F.col("measure")]
+    least = lambda k: F.min(F.when(F.col("upto") * 100 >= F.col("size") * level(k), F.col("top")))
+    return merged.groupBy(*keys, "measure").agg(F.max("size").alias("size"), least(2).alias("low"), least(3).alias("high"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """lang, source and a limit for each measure, from quartiles that lean on the wider group's with the weight of PRIOR documents."""
+    """lang, source and, for each measure, the limit and the upper rate (max_, high_), from quantiles that lean on the wider group's with the weight of PRIOR documents."""
     groups = sketch.select("lang", "source", "measure").distinct()
     for name, keys in (("own", ["lang", "source"]), ("wide", ["lang"]), ("whole", [])):
-        groups = groups.join(quantiles(sketch, keys).select(*keys, "measure", *(F.col(c).alias(f"{name}_{c}") for c in ("size", "q25", "q75"))), [*keys, "measure"])
-    for q in ("q25", "q75"):
+        groups = groups.join(quantiles(sketch, keys).select(*keys, "measure", *(F.col(c).alias(f"{name}_{c}") for c in ("size", "low", "high"))), [*keys, "measure"])
+    for q in ("low", "high"):
         groups = groups.withColumn(f"lang_{q}", F.expr(f"(wide_size * wide_{q} + {PRIOR} * whole_{q}) div (wide_size + {PRIOR})"))
         groups = groups.withColumn(q, F.expr(f"(own_size * own_{q} + {PRIOR} * lang_{q}) div (own_size + {PRIOR})"))
-    tolerance = F.create_map(*(F.lit(x) for m, (_, _, t) in MEASURES.items() for x in (m, t)))[F.col("measure")]
-    limit = F.col("q75") + FENCE * F.greatest(F.col("q75") - F.col("q25"), tolerance)
-    return groups.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, limit)).alias(f"max_{m}") for m in MEASURES))
+    limit = F.col("high") + FENCE * (F.col("high") - F.col("low"))
+    return groups.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, c)).alias(f"{n}_{m}") for m in MEASURES for n, c in (("max", limit), ("high", F.col("high")))))
 
 
 def judged(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -137,7 +150,7 @@ def judged(docs: DataFrame, carry: list[str]) -> DataFrame:
     rows = rows.join(limits, ["lang", "source"], "left")
     fits = ~base_failed()
     for m in MEASURES:
-        fits = fits & (_value(m) <= F.col(f"max_{m}"))
+        fits = fits & F.expr(within(m))
     return rows.select("row", *COUNTS, base_failed().alias("base_failed"), F.coalesce(fits, F.lit(False)).alias("kept"))
 
 

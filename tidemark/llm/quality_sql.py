@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from .quality_rules import COUNTS, FENCE, MAX_REPEAT_PERCENT, MEASURES, MIN_WORDS, PRIOR
+from .quality_rules import COUNTS, FENCE, MAX_REPEAT_PERCENT, MEASURES, MIN_WORDS, PRIOR, within
 
 WORD = "[^\\x20\\x09-\\x0D]"
 
 
 def _value(name: str) -> str:
-    over, under, _ = MEASURES[name]
+    over, under, *_ = MEASURES[name]
     return f"1000 * {over} // greatest({under}, 1)"
 
 
+def _level(k: int) -> str:
+    return f"CASE measure {' '.join(f"WHEN '{m}' THEN {spec[k]}" for m, spec in MEASURES.items())} END"
+
+
 def _quantiles(name: str, keys: str) -> str:
     by = f"{keys}, measure" if keys else "measure"
     return f"""{name}_n AS (SELECT {by}, top, sum(n) AS n FROM sketch GROUP BY {by}, top),
  {name}_u AS (SELECT {by}, top, sum(n) OVER (PARTITION BY {by} ORDER BY top) AS upto, sum(n) OVER (PARTITION BY {by}) AS size FROM {name}_n),
- {name}_q AS (SELECT {by}, max(size) AS size, min(top) FILTER (WHERE upto * 100 >= size * 25) AS q25, min(top) FILTER (WHERE upto * 100 >= size * 75) AS q75 FROM {name}_u GROUP BY {by}),
- {name} AS (SELECT {by}, CAST(size AS BIGINT) AS {name}_size, CAST(q25 AS BIGINT) AS {name}_q25, CAST(q75 AS BIGINT) AS {name}_q75 FROM {name}_q)"""
+ {name}_q AS (SELECT {by}, max(size) AS size, min(top) FILTER (WHERE upto * 100 >= size * {_level(2)}) AS low, min(top) FILTER (WHERE upto * 100 >= size * {_level(3)}) AS high FROM {name}_u GROUP BY {by}),
+ {name} AS (SELECT {by}, CAST(size AS BIGINT) AS {name}_size, CAST(low AS BIGINT) AS {name}_low, CAST(high AS BIGINT) AS {name}_high FROM {name}_q)"""
 
 
 def _leaning(q: str) -> str:
@@ -25,9 +29,6 @@ def _leaning(q: str) -> str:
     return f"(own_size * own_{q} + {PRIOR} * ({wide})) // (own_size + {PRIOR}) AS {q}"
 
 
-TOLERANCE = f"""CASE measure {" ".join(f"WHEN '{m}' THEN {t}" for m, (_, _, t) in MEASURES.items())} END"""
-
-
 SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
  w AS (SELECT *, regexp_extract_all(text, '{WORD}+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM d),
  i AS (SELECT r, words, unnest(range(1, len(words) - 1)) AS pos FROM w),
@@ -42,7 +43,7 @@ SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, ''
  {_quantiles("own", "lang, source")},
  {_quantiles("wide", "lang")},
  {_quantiles("whole", "")},
- l AS (SELECT lang, source, measure, {_leaning("q25")}, {_leaning("q75")} FROM own JOIN wide USING (lang, measure) JOIN whole USING (measure)),
- g AS (SELECT lang, source, measure, q75 + {FENCE} * greatest(q75 - q25, {TOLERANCE}) AS cap FROM l),
- t AS (SELECT lang, source, {", ".join(f"max(cap) FILTER (WHERE measure = '{x}') AS max_{x}" for x in MEASURES)} FROM g GROUP BY lang, source)
-SELECT doc_id, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in COUNTS[:5])}, base_failed, coalesce(NOT base_failed AND {" AND ".join(f"{_value(x)} <= max_{x}" for x in MEASURES)}, FALSE) AS kept FROM f LEFT JOIN t USING (lang, source)"""
+ l AS (SELECT lang, source, measure, {_leaning("low")}, {_leaning("high")} FROM own JOIN wide USING (lang, measure) JOIN whole USING (measure)),
+ g AS (SELECT lang, source, measure, high, high + {FENCE} * (high - low) AS cap FROM l),
+ t AS (SELECT lang, source, {", ".join(f"max(cap) FILTER (WHERE measure = '{x}') AS max_{x}, max(high) FILTER (WHERE measure = '{x}') AS high_{x}" for x in MEASURES)} FROM g GROUP BY lang, source)
+SELECT doc_id, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in COUNTS[:5])}, base_failed, coalesce(NOT base_failed AND {" AND ".join(map(within, MEASURES))}, FALSE) AS kept FROM f LEFT JOIN t USING (lang, source)"""
