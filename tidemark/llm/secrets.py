@@ -74,9 +74,10 @@ def _ratios(value: Column, steps: list[float], start: dict[str, Column], then: C
     ratio = F.from_json(F.lit(json.dumps(steps)), "array<double>")  # a constant: folded once
     pack = lambda fields, last: F.struct(*(v.alias(k) for k, v in fields.items()), last.alias("last"))
 
-    def step(acc: Column, c: Column) -> Column:
-        c = F.instr(F.lit(ALPHABET), c)
-        return pack(then(acc, F.get(ratio, acc["last"] * SIDE + c)), c)
+    def step(acc: Column, char: Column) -> Column:
+        c = F.instr(F.lit(ALPHABET), char)
+        # Bound once, so that the constant is once in the fold and not wherever `then` names the ratio.
+        return once(F.struct(F.get(ratio, acc["last"] * SIDE + c).alias("ratio"), c.alias("c")), lambda x: pack(then(acc, x["ratio"]), x["c"]))
 
     return F.aggregate(F.split(value, ""), pack(start, F.lit(0)), step)
 
