@@ -133,12 +133,15 @@ def composite_history(obs: DataFrame, dim: DataFrame) -> DataFrame:
     ranges of dates, each begun with the sums of those before it.
     """
     series = Window.partitionBy("currency", "series_id").orderBy("date")
-    rows = history(obs).where("score IS NOT NULL").join(dim, "series_id").select("currency", "series_id", "weight", "date", signed(F.col("score"), F.col("cat")).alias("score"))
+    rows = history(obs).join(dim, "series_id").select("currency", "series_id", "weight", "date", signed(F.col("score"), F.col("cat")).alias("score"))
     before = F.lag("score").over(series)
-    steps = rows.select("currency", "date", (F.col("weight") * (F.col("score") - F.coalesce(before, F.lit(0.0)))).alias("up"), F.when(before.isNull(), F.col("weight")).otherwise(0.0).alias("more"))
+    there, none = F.col("score").isNotNull(), F.lit(0.0)
+    # A series' first date has no score yet, but is a date of its currency.
+    up = F.when(there, F.col("weight") * (F.col("score") - F.coalesce(before, none))).otherwise(none)
+    steps = rows.select("currency", "date", up.alias("up"), F.when(there & before.isNull(), F.col("weight")).otherwise(none).alias("more"))
     by_date = stored(steps.groupBy("currency", "date").agg(F.sum("up").alias("up"), F.sum("more").alias("more")), "sweep")
     sums = running_sums(by_date, "currency", "date", ["up", "more"])
-    return sums.select("currency", "date", (F.col("up") / F.col("more")).alias("macro"))
+    return sums.where("more > 0").select("currency", "date", (F.col("up") / F.col("more")).alias("macro"))
 
 
 def series_fallback(obs: DataFrame, dim: DataFrame) -> DataFrame:
