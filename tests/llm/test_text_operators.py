@@ -395,6 +395,80 @@ def test_markov_models_on_held_out_strings(spark):
     assert true >= 0.97 * len(hidden) and true >= 0.97 * len(flagged)
 
 
+def slow_parts(value, steps):
+    """The random parts of a run as found_in() states them, before they are widened; the run as a whole if none."""
+    at = [secrets.ALPHABET.find(c) + 1 for c in value]
+    ratio = [0.0] + [steps[a * secrets.SIDE + b] for a, b in zip(at, at[1:], strict=False)]
+    out, start = [], 0
+    while start < len(value):
+        total = peak = 0.0
+        end = k = start + 1
+        # The first character of a run is its own step, of ratio 0.
+        while k < len(value):
+            total += ratio[k]
+            if total < secrets.MIN_PER_STEP * (k - start) or total <= peak - secrets.MIN_RATIO:
+                break
+            if total > peak:
+                peak, end = total, k + 1
+            k += 1
+        if peak >= secrets.MIN_RATIO:
+            out.append((start, end))
+        start = k
+    whole = sum(ratio)
+    return out or ([(0, len(value))] if whole >= max(secrets.MIN_RATIO, secrets.MIN_PER_STEP * (len(value) - 1)) else [])
+
+
+def test_found_parts_are_those_of_the_slow_way(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    steps = secrets.train(secrets.training_strings(table))
+    r = random.Random(12)
+    words = sorted({w for x in table.where("text is not null").limit(100).collect() for w in re.findall("[a-z]{3,9}", x["text"])})
+    runs = ["a", "-" * 30, "a/b", random_string(r, 64)]
+    for _ in range(300):
+        runs.append("".join(r.choice([random_string(r, r.randrange(1, 24)), r.choice(words), r.choice(["/", "-", "_", "=", "2024-05-12"])]) for _ in range(r.randrange(1, 9))))
+
+    def widened(v, s, e):
+        while s < e and v[s] == "/":
+            s += 1
+        while e > s and v[e - 1] == "/":
+            e -= 1
+        left, right = v.rfind("/", 0, s) + 1, v.find("/", e)
+        return left, len(v) if right < 0 else right
+
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(runs)], "k long, v string")
+    got = {x["k"]: [tuple(y) for y in x["f"]] for x in df.select("k", secrets.found_in(F.col("v"), steps).alias("f")).collect()}
+    for k, v in enumerate(runs):
+        assert got[k] == list(dict.fromkeys(widened(v, s, e) for s, e in slow_parts(v, steps))), v
+    assert sum(bool(x) for x in got.values()) > 100
+
+
+def test_markov_models_leave_ordinary_text(spark):
+    """Dates, names in camel case and constants, part numbers, paths and long numbers, none made of training strings, against random strings of 12 and more."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = random.Random(21)
+    terms = "get set http request handler response parser manager factory bean context xml service client config builder reader writer query account invoice customer order payment".split()
+    name = lambda n: r.choice(terms) + "".join(w.capitalize() for w in r.sample(terms, n))
+    upper = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    kinds = {
+        "date": lambda: f"{r.randrange(1970, 2040)}-{r.randrange(1, 13):02}-{r.randrange(1, 29):02}T{r.randrange(24):02}",
+        "camel": lambda: name(r.randrange(2, 5)),
+        "constant": lambda: "_".join(r.sample(terms, 3)).upper(),
+        "part": lambda: f"{upper(2)}{digits(3)}-{upper(1)}{digits(2)}{upper(3)}",
+        "path": lambda: f"/{'/'.join(r.sample(terms, 3))}/{name(1)}",
+        "number": lambda: digits(16),
+        "random12": lambda: random_string(r, 12),
+        "random20": lambda: random_string(r, 20),
+        "capitals20": lambda: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(20)),
+    }
+    rows = [(k, f"the {make()} is", kind) for kind, make in kinds.items() for k in range(400)]
+    found = secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string, kind string"), secrets.train(secrets.training_strings(table)))
+    share = {x["kind"]: x["n"] / 400 for x in found.groupBy("kind").agg(F.count_if(F.size("spans") > F.size("base")).alias("n")).collect()}
+    ordinary = [share[k] for k in kinds if k[-1].isalpha()]
+    assert max(ordinary) <= 0.03 and sum(ordinary) / len(ordinary) <= 0.01, share
+    assert share["random12"] >= 0.95 and share["random20"] >= 0.99 and share["capitals20"] >= 0.95, share
+
+
 def test_no_part_of_a_secret_stays(spark):
     """Random text on both sides of 32 hexadecimal digits is one secret of 81 characters; thousands of matches in one text go as well."""
     table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")

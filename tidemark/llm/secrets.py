@@ -12,9 +12,11 @@ random against ordinary, is at least MIN_RATIO in all and MIN_PER_STEP for each
 
 from __future__ import annotations
 
+import importlib
 import json
 import math
 import re
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,8 +34,10 @@ SIEVE = {"assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]",
 RUN = "[A-Za-z0-9+/_-]{8,}={0,2}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 SIDE = len(ALPHABET) + 1
-MIN_RATIO, MIN_PER_STEP, STRONG = 12.0, 0.6, 2.0
-SAMPLE_DOCS, SAMPLE_WORDS = 2000, 10_000
+MIN_RATIO, MIN_PER_STEP, STRONG = 10.5, 0.5, 2.0
+SAMPLE_DOCS, SAMPLE_WORDS, PART_EVERY = 2000, 10_000, 4
+#: Modules whose names are ordinary identifiers.
+NAMED = ["argparse", "builtins", "collections", "datetime", "email.message", "http.client", "http.server", "io", "json", "logging", "os", "pyspark.sql", "pyspark.sql.functions", "pyspark.sql.types", "socket", "subprocess", "threading", "unittest", "urllib.request", "xml.dom.minidom"]
 SPANS = "array<struct<s:int,kind:int,e:int>>"
 MATCHES = "array<struct<s:int,kind:int,e:int,value:string>>"
 #: Values that share one list while lists are built.
@@ -41,17 +45,45 @@ BLOCK = 256
 MASK = "[SECRET]"
 
 
+def name_words() -> list[str]:
+    """English words of four to twelve characters that names in the standard library and in PySpark are made of, in order."""
+    names = set(sys.stdlib_module_names)
+    for module in NAMED:
+        found = importlib.import_module(module)
+        names.update(dir(found), *(dir(x) for x in vars(found).values() if isinstance(x, type)))
+    return sorted({w.lower() for name in names for w in re.findall("[A-Z]?[a-z]+|[A-Z]+(?![a-z])", name) if 4 <= len(w) <= 12})
+
+
 def training_strings(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> DataFrame:
-    """value, label (1 random, 0 ordinary) from at most sample_words different words of sample_docs documents, chosen by a hash."""
+    """value, label (1 random, 0 ordinary) from name_words() and at most sample_words different words of sample_docs documents, chosen by a hash.
+
+    Ordinary are words, names made of up to three words in the usual ways, paths,
+    dates with hours, numbers and, for one word in PART_EVERY, a part number.
+    """
     docs = hash_sample(docs.select("doc_id", text_column().alias("text")), ["doc_id"], sample_docs)
-    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(sample_words)
+    # Each word with the two that follow it.
+    after = lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("w"), F.coalesce(F.get(ws, i + 1), w).alias("b"), F.coalesce(F.get(ws, i + 2), w).alias("c")))
+    words = docs.select(F.explode(once(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0)), after)).alias("x")).select("x.*")
+    words = words.groupBy("w").agg(F.min(F.struct("b", "c")).alias("x")).orderBy(F.xxhash64("w"), "w").limit(sample_words).select("w", "x.b", "x.c")
+    number = lambda k, n: F.lpad(F.pmod(F.xxhash64("w", F.lit(k)), F.lit(10**n)).cast("string"), n, "0")
+    letters = lambda *ks: F.concat(*(F.char(65 + F.pmod(F.xxhash64("w", F.lit(k)), F.lit(26))) for k in ks))
+    w, b, c = (F.lower(x) for x in "wbc")
+    day = F.date_add(F.lit("1990-01-01").cast("date"), F.pmod(F.xxhash64("w"), F.lit(20_000)).cast("int")).cast("string")
+    part = F.concat(letters(1, 2), number(3, 3), F.lit("-"), letters(4), number(5, 2), letters(6, 7, 8))
+    names = [F.col("w"), F.concat(w, F.initcap(b), F.initcap(c)), F.concat(F.lit("/"), w, F.lit("/"), b, F.lit("/"), F.initcap(c), F.lit("-"), number(9, 1))]
+    ordinary = [
+        *names, F.upper("w"), F.concat_ws("_", w, number(10, 3)), F.concat(w, F.initcap(w), F.lit("-"), w), F.concat_ws("/", w, w),
+        F.concat(day, F.lit("T"), number(11, 2)), F.translate(day, "-", ""), number(12, 12), F.when(F.pmod(F.xxhash64("w", F.lit(13)), F.lit(PART_EVERY)) == 0, part),
+    ]
     digest = F.sha2("w", 256)
-    number = F.pmod(F.xxhash64("w"), F.lit(1000)).cast("string")
     base64 = F.base64(F.unhex(digest))
-    ordinary = [F.col("w"), F.upper("w"), F.concat_ws("_", F.lower("w"), number), F.concat(F.lower("w"), F.initcap("w"), F.lit("-"), F.lower("w")), F.concat_ws("/", F.lower("w"), F.lower("w"))]
     random = [F.substring(digest, 1, 40), base64, F.substring(F.upper(F.regexp_replace(base64, "[+/=]", "")), 1, 20)]
-    strings = F.array(*(F.struct(v.alias("value"), F.lit(label).alias("label")) for label, values in ((0, ordinary), (1, random)) for v in values))
-    return words.select(F.explode(strings).alias("x")).select("x.value", "x.label")
+    english = F.split(F.lit(" ".join(name_words())), " ")
+    some = lambda k: F.get(english, F.pmod(F.xxhash64("w", F.lit(k)), F.size(english).cast("long")).cast("int"))
+    terms = docs.sparkSession.range(1).select(F.explode(english).alias("w")).select("w", some(1).alias("b"), some(2).alias("c"))
+    plain = [*names, F.concat(w, F.initcap(b)), F.concat(F.initcap(w), F.initcap(b), F.initcap(c)), F.concat_ws("_", w, b), F.upper(F.concat_ws("_", w, b)), F.concat_ws("-", w, b, number(14, 2))]
+    each = lambda rows, of: rows.select(F.explode(F.array(*(F.struct(v.alias("value"), F.lit(label).alias("label")) for label, values in of for v in values))).alias("x"))
+    return each(words, ((0, ordinary), (1, random))).unionByName(each(terms, ((0, plain),))).select("x.value", "x.label").where("value IS NOT NULL")
 
 
 def train(strings: DataFrame) -> list[float]:
