@@ -443,7 +443,7 @@ def test_found_parts_are_those_of_the_slow_way(spark):
 
 
 def test_markov_models_leave_ordinary_text(spark):
-    """Dates, names in camel case and constants, part numbers, paths and long numbers, none made of training strings, against random strings of 12 and more."""
+    """Dates, names in camel case and constants, part numbers, paths and long numbers, in the shapes of the training sample and partly of its words, against random strings of 12 and more."""
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = random.Random(21)
     terms = "get set http request handler response parser manager factory bean context xml service client config builder reader writer query account invoice customer order payment".split()
