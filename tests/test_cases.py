@@ -96,6 +96,23 @@ def test_blends(spark):
     assert {r["asset"]: (r["strength"], r["score_text"]) for r in left.collect()} == {"USD": ("Moderate Bullish", "+0.20"), "AUD": ("Neutral", "0.00")}
 
 
+def test_score_texts_are_those_of_the_sql(spark):
+    """Scores that round to zero keep their sign, in the query and in the SQL's `rep`."""
+    import re
+
+    import duckdb
+
+    from tidemark.plans import series
+
+    scores = [("USD", -0.000270101976), ("EUR", 0.000269), ("GBP", -0.004999), ("JPY", -0.005), ("CAD", 0.145), ("CHF", 0.35), ("Gold", 0.0), ("Oil", -1.0)]
+    left = spark.createDataFrame(scores, "asset string, score double")
+    have = {r["asset"]: tuple(r)[2:] for r in S.report_rows(left, series._assets(spark)).collect()}
+    assert (have["USD"][1], have["EUR"][1], have["GBP"][1], have["JPY"][1], have["AUD"][1]) == ("-0.00", "+0.00", "-0.00", "-0.01", "0.00")
+    rep = re.search(r"rep AS \((.*?)\), drv AS", series.SCORES, re.DOTALL)[1]
+    rows = duckdb.execute(f"WITH {series.M.values('wa', 'asset, ord, keywords', series.WIRE_ROWS)}, {series.M.values('sc', 'asset, score', scores)} {rep}").fetchall()
+    assert {r[0]: r[2:] for r in rows} == have
+
+
 DEDUP = [
     (["Fed raises rates sharply amid inflation", "BREAKING: Fed raises rates amid inflation"], [0]),
     (["alpha beta gamma delta", "beta gamma delta epsilon", "gamma delta epsilon zeta"], [0, 2]),

@@ -345,9 +345,11 @@ def oil_matrix(spark: SparkSession, sf: str) -> DataFrame:
 # The hourly report: nine assets; AUD has no indicators.
 MAP = [("USD", "R0"), ("EUR", "R1"), ("GBP", "R2"), ("JPY", "R3"), ("CAD", "R4"), ("CHF", "R4")]
 WIRE_ROWS = [(a, k, w) for k, (a, w) in enumerate(M.ASSETS)]
+#: A score of 12 digits with its sign, rounded to two of them, ties away from zero; like Python's and Java's formats, one that rounds to zero keeps its sign.
+SCORE_TEXT = "CASE WHEN score IS NULL THEN '0.00' ELSE (CASE WHEN CAST(score AS DECIMAL(18,12)) < 0 THEN '-' ELSE '+' END) || printf('%.2f', CAST(round(abs(CAST(score AS DECIMAL(18,12))), 2) AS DOUBLE)) END"
 SCORES = f"{TABLE}, {POINTS}, {YIELDS}, {GOLD}, {PICKED}, {OIL}, {M.values('map', 'asset, currency', MAP)}, {M.values('wa', 'asset, ord, keywords', WIRE_ROWS)}, {M.values('dr', 'asset, strength, driver', M.DRIVERS)}, " + (
     "sc AS (SELECT asset, 0.5 * macro + 0.5 * (points / 0.5) AS score FROM map JOIN macro USING (currency) JOIN points USING (asset) UNION ALL SELECT 'Gold', composite FROM gold UNION ALL SELECT 'Oil', composite FROM oil), "
-    f"rep AS (SELECT asset, ord, {bias('score')} AS strength, CASE WHEN score IS NULL THEN '0.00' ELSE (CASE WHEN round(score, 2) >= 0 THEN '+' ELSE '' END) || printf('%.2f', round(score, 2)) END AS score_text, CASE WHEN score IS NULL THEN 'no data yet' ELSE '' END AS note FROM wa LEFT JOIN sc USING (asset)), "
+    f"rep AS (SELECT asset, ord, {bias('round(score, 12)')} AS strength, {SCORE_TEXT} AS score_text, CASE WHEN score IS NULL THEN 'no data yet' ELSE '' END AS note FROM wa LEFT JOIN sc USING (asset)), "
     "drv AS (SELECT rep.*, coalesce(driver, 'mixed signals') AS driver FROM rep LEFT JOIN dr USING (asset, strength)), "
     "wh AS (SELECT asset, seq, title FROM articles JOIN wa ON len(list_filter(keywords, lambda w: contains(lower(title), w))) > 0), "
     "wire AS (SELECT asset, min(seq) AS seq, arg_min(CASE WHEN length(title) > 65 THEN substr(title, 1, 65) || '...' ELSE title END, seq) AS wire FROM wh GROUP BY asset)"
