@@ -513,6 +513,21 @@ def test_token_costs_are_those_of_the_tokenizer(spark):
     assert exact.where("n_tokens <> 7").count() == 0
 
 
+def test_mixing_counts_every_text(spark):
+    """The pieces of each whole document are those of the tokenizer's own pre-tokenizer; nothing is estimated from a sample."""
+    from tokenizers import Tokenizer
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").select("doc_id", *columns) for t, columns in (("documents", ["text"]), ("labels", ["quality", "toxic"])))
+    odd = ["", " \t\n", None, "It's ODD, we'll see: x=12 34!!", "a\u00a0b\u3000c\u2028d\u0085e", "\u0130stanbul \u00c9T\u00c9 \u4e2d\u6587 \u00bd\u0663 \ud83d\ude42\u200b ''s 'Reve", "\x1c\x1fz"]
+    docs = docs.unionByName(spark.createDataFrame([(-1 - k, t) for k, t in enumerate(odd)], "doc_id long, text string"))
+    library = Tokenizer.from_file(WORD)
+    want = {r["doc_id"]: len(library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(r["text"] or ""))) for r in docs.collect()}
+    rows = mixing.rated(docs, ["doc_id"], mixing.label_domains(labels), mixing.DOMAINS, tokens=mixing.pieces(F.coalesce("text", F.lit(""))))[0].collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == want
+    found = {r["doc_id"]: r["n_tokens"] for r in mixing.op2_soft_membership_mixing(spark, "/root/testdata/sf0.001").select("doc_id", "n_tokens").collect()}
+    assert found == {d: n for d, n in want.items() if d >= 0}
+
+
 def least_squares(n, p, wanted, scale, most):
     """Another way to the same tokens: accelerated projected gradient on all rates at once, far longer than needed."""
     a = (n[:, None] * p / scale).T

@@ -17,11 +17,13 @@ these sums until the targets are met or no rate that can move would lessen the
 squared errors: then the targets cannot be met, and the rates are the
 least-squares ones. Which of the two, and the tokens reached, are returned.
 
-Tokens are those of a tokenizer: exact where the table has a column of counts
-(the digest cache makes one), else estimated from the words of a text by
-token_costs(), what a word of its length and kind costs on average.
+Tokens are counted in every whole text. The query and the pipeline count
+pieces(), what the tokenizer's own pre-tokenizer cuts a text into, as no Python
+may run on this path; a table may have a column of other exact counts (the
+digest cache makes one of the tokenizer's ids). token_costs() estimates ids from
+a sample's words, for callers that ask for it; neither the query nor the pipeline does.
 
-DataFrame functions only; the tokenizer runs on the driver, for the sample's words.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ SLACK = 1.05
 TOLERANCE, FLAT = 1e-3, 1e-8
 #: Most cells of the grid of posteriors.
 CELLS = 5000
+#: What word_bpe_49k.json cuts normal text into: ends of contractions, runs of letters, single numbers, runs of other signs.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{IsWhite_Space}\p{L}\p{N}]+"
 #: Documents whose words the costs of words are taken from, the longest length that is told apart, and the kinds of words: no, one or more SIGNS, a character beyond ASCII or not.
 COST_DOCS, LONGEST, KINDS = 500, 32, 6
 SIGNS = "#*$%&|<>!?.,;:()[]{}\"'/_-=+@"
@@ -63,6 +67,11 @@ def words(text: Column) -> Column:
     return F.split(F.translate(text, "\n", " "), " ")
 
 
+def pieces(text: Column) -> Column:
+    """How many pieces the tokenizer's pre-tokenizer cuts a text into; characters count as they are written, without composing accents."""
+    return F.regexp_count(F.lower(text), F.lit(PIECE)).cast("long")
+
+
 def features(word: Column) -> dict[str, Column]:
     """The first four characters in lower case and the last two as they are."""
     return {"start": F.lower(F.substring(word, 1, 4)), "end": F.right(word, F.lit(2))}
@@ -132,14 +141,18 @@ def token_costs(docs: DataFrame, tokenizer: str, sample_docs: int = COST_DOCS) -
     return [float(v) for v in np.where(count > 0, total / np.maximum(count, 1), np.maximum(1.0, each * length))]
 
 
-def scores(docs: DataFrame, keys: list[str], weights: DataFrame, n_domains: int, costs: list[float] | None = None, tokens: str | None = None) -> DataFrame:
+def _column(tokens: str | Column) -> Column:
+    return F.col(tokens) if isinstance(tokens, str) else tokens
+
+
+def scores(docs: DataFrame, keys: list[str], weights: DataFrame, n_domains: int, costs: list[float] | None = None, tokens: str | Column | None = None) -> DataFrame:
     """keys (which tell rows apart), n_tokens and s: array with the tempered sum of weights for each domain.
 
-    n_tokens is the column `tokens`, or the rounded sum of the words' costs, or else the number of words.
+    n_tokens is `tokens` (a column or its name), or the rounded sum of the words' costs, or else the number of words.
     Weights of the words of a document add up where it lies; one partial sum for each document crosses the shuffle.
     """
     names = [f"w{k}" for k in range(n_domains)]
-    own = [F.col(tokens).cast("long").alias("own_tokens")] if tokens else []
+    own = [] if tokens is None else [_column(tokens).cast("long").alias("own_tokens")]
     each = docs.select(*keys, *own, F.explode_outer(words(text_column())).alias("word"))
     each = each.select(*keys, *(["own_tokens"] if own else []), "word", *(f.alias(kind) for kind, f in features(F.col("word")).items()))
     kinds = list(features(F.lit("")))
@@ -147,7 +160,7 @@ def scores(docs: DataFrame, keys: list[str], weights: DataFrame, n_domains: int,
         each = each.join(F.broadcast(weights.where(F.col("kind") == kind).select(F.col("feature").alias(kind), *(F.col(w).alias(f"{kind}_{w}") for w in names))), kind, "left")
     total = lambda w: F.sum(sum((F.coalesce(F.col(f"{kind}_{w}"), F.lit(0.0)) for kind in kinds), F.lit(0.0))) * TEMPER
     there = F.col("word") != ""
-    if tokens:
+    if own:
         n = F.coalesce(F.max("own_tokens"), F.lit(0))
     elif costs:
         n = F.round(F.coalesce(F.sum(F.when(there, F.get(F.from_json(F.lit(str(costs)), "array<double>"), cost_index(F.col("word"))))), F.lit(0.0)))
@@ -234,7 +247,7 @@ def solve(members: DataFrame, targets: dict[str, float], max_rate: float | None
     return Solution({r["cell"]: float(v) for r, v in zip(found, rates, strict=True)}, {d: (float(w), float(n)) for d, w, n in zip(targets, wanted, reached, strict=True)}, met)
 
 
-def rated(docs: DataFrame, keys: list[str], labelled: DataFrame, targets: dict[str, float], max_rate: float | None = None, costs: list[float] | None = None, tokens: str | None = None) -> tuple[DataFrame, Solution]:
+def rated(docs: DataFrame, keys: list[str], labelled: DataFrame, targets: dict[str, float], max_rate: float | None = None, costs: list[float] | None = None, tokens: str | Column | None = None) -> tuple[DataFrame, Solution]:
     """keys, n_tokens, p and rate for each row of docs (the keys tell rows apart), and what became of the targets.
 
     Null text counts as empty: no tokens, the priors as posteriors; very long
@@ -255,7 +268,7 @@ def rated(docs: DataFrame, keys: list[str], labelled: DataFrame, targets: dict[s
     return members.drop("cell"), found
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], max_rate: float | None = None, seed: int = 11, costs: list[float] | None = None, tokens: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], max_rate: float | None = None, seed: int = 11, costs: list[float] | None = None, tokens: str | Column | None = None) -> DataFrame:
     """The rows of docs, all columns, each floor(rate) times and once more with the chance of what is left of its rate, by a hash.
 
     With max_rate 1 no row comes twice. Null and empty texts have the rate of
@@ -263,10 +276,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], max_rat
     """
     # The draw hangs on what a row says, not on where it lies, so another partitioning draws the same.
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    own = [F.col(tokens).alias("own_count")] if tokens else []
+    own = [] if tokens is None else [_column(tokens).alias("own_count")]
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", *own, F.monotonically_increasing_id().alias("uid"), draw.alias("draw"))
     rows = stored(rows, "mixing-rows")
-    copies = rated(rows, ["uid", "draw"], labelled, targets, max_rate, costs, "own_count" if tokens else None)[0].select("uid", F.floor(F.col("rate") + F.col("draw")).cast("int").alias("copies"))
+    copies = rated(rows, ["uid", "draw"], labelled, targets, max_rate, costs, "own_count" if own else None)[0].select("uid", F.floor(F.col("rate") + F.col("draw")).cast("int").alias("copies"))
     out = rows.select("uid", "row").join(copies.where("copies > 0").hint("merge"), "uid")
     if max_rate is None or max_rate > 1:
         out = out.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row"))
@@ -278,10 +291,8 @@ def label_domains(labels: DataFrame) -> DataFrame:
 
 
 def op2_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, the posterior of each domain and the rate; met: whether the rates meet the targets; reached_*: the share of the wanted tokens that a domain gets."""
-    import public_tokenizers
-
+    """doc_id, n_tokens (pieces of the whole text), the posterior of each domain and the rate; met: whether the rates meet the targets; reached_*: the share of the wanted tokens that a domain gets."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("uid"))
-    rows, found = rated(docs, ["uid", "doc_id"], label_domains(table(spark, sf_dir, "labels")), DOMAINS, costs=token_costs(docs, public_tokenizers.path("word_bpe_49k.json")))
+    rows, found = rated(docs, ["uid", "doc_id"], label_domains(table(spark, sf_dir, "labels")), DOMAINS, tokens=pieces(text_column()))
     reached = [F.lit(n / w if w else 1.0).alias(f"reached_{d}") for d, (w, n) in found.tokens.items()]
     return rows.select("doc_id", "n_tokens", *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)), "rate", F.lit(found.met).alias("met"), *reached)
