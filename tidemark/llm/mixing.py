@@ -49,8 +49,8 @@ SLACK = 1.05
 TOLERANCE, FLAT = 1e-3, 1e-8
 #: Most cells of the grid of posteriors.
 CELLS = 5000
-#: What word_bpe_49k.json cuts normal text into: ends of contractions, runs of letters, single numbers, runs of other signs.
-PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{IsWhite_Space}\p{L}\p{N}]+"
+#: What word_bpe_49k.json cuts normal text into: runs of letters, ends of contractions, single numbers, runs of other signs.
+PIECE = r"\p{L}++|'(?:[stmd]|re|ve|ll)|\p{N}|[^\p{IsWhite_Space}\p{L}\p{N}]++"
 #: Documents whose words the costs of words are taken from, the longest length that is told apart, and the kinds of words: no, one or more SIGNS, a character beyond ASCII or not.
 COST_DOCS, LONGEST, KINDS = 500, 32, 6
 SIGNS = "#*$%&|<>!?.,;:()[]{}\"'/_-=+@"
