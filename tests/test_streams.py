@@ -177,3 +177,57 @@ def test_tick_alerts_at_rest(spark):
     ticks = [[(1, "calm", False), (2, "war", True), (3, "attack", True)], [(4, "war", True), (5, "attack", True)], [(6, "war", True), *((7 + k, f"calm {k}", False) for k in range(3)), (11, "crisis", True)]]
     rows = spark.createDataFrame([(k, *r) for k, tick in enumerate(ticks) for r in tick], "tick int, seq long, title string, urgent boolean").withColumn("weekend", F.lit("2024-01-06").cast("date"))
     assert {(r["seq"], r["title"]) for r in X.first_of_ticks(rows).collect()} == {(2, "war"), (5, "attack")}
+
+
+def test_waiting_rows_go_to_state_together():
+    """A batch of a key's rows is one call to state, and a release one or two, however many rows there are; rows wait in order, the last of two alike counts."""
+    import pandas as pd
+
+    calls, held, timers = [], [], []
+
+    class Waiting:
+        def appendList(self, rows):  # noqa: N802
+            calls.append("append")
+            held.extend(rows)
+
+        def get(self):
+            calls.append("get")
+            return iter(list(held))
+
+        def put(self, rows):
+            calls.append("put")
+            held[:] = rows
+
+        def clear(self):
+            calls.append("clear")
+            held.clear()
+
+    class Numbers(X.InOrder):
+        VALUE = "value double"
+
+        def released(self, key, rows):
+            yield [(at, ident, v) for (at, ident), (v,) in rows]
+
+    class Handle:
+        def getListState(self, name, schema):  # noqa: N802
+            return Waiting()
+
+        def registerTimer(self, at):  # noqa: N802
+            timers.append(at)
+
+    class Upto:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.ms
+
+    p = Numbers()
+    p.init(Handle())
+    rows = pd.DataFrame([(1000 * k, k, float(k)) for k in range(100, 0, -1)] + [(5000, 5, 0.5)], columns=["at", "id", "value"])
+    assert list(p.handleInputRows(("x",), iter([rows]), None)) == []
+    first = list(p.handleExpiredTimer(("x",), Upto(40), None))
+    rest = list(p.handleExpiredTimer(("x",), Upto(1000), None))
+    want = [(1000 * k, k, 0.5 if k == 5 else float(k)) for k in range(1, 101)]
+    assert [r for part in first for r in part] == want[:40] and [r for part in rest for r in part] == want[40:]
+    assert calls == ["append", "get", "put", "get", "clear"] and timers == [2, 42]

@@ -99,32 +99,37 @@ class InOrder(StatefulProcessor):
     wait with them, with their types. Spark drops rows behind the watermark, so
     none can follow that belongs before a released one, and what is released
     does not hang on how rows were dealt to micro-batches. One timer stands at
-    the earliest waiting row of a batch.
+    the earliest waiting row of a batch. A key's rows are put into state and
+    taken out together, as each call goes to the JVM and back.
     """
 
     VALUE = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, id long", self.VALUE)
+        self.waiting = handle.getListState("waiting", f"at long, id long, {self.VALUE}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         names = [x.split()[0] for x in self.VALUE.split(", ")]
         first = None
         for batch in rows:
-            for at, ident, *value in batch[["at", "id", *names]].itertuples(index=False):
-                self.waiting.updateValue((int(at), int(ident)), tuple(None if pd.isna(v) else v for v in value))
-                first = int(at) if first is None else min(first, int(at))
+            new = [(int(at), int(ident), *(None if pd.isna(v) else v for v in value)) for at, ident, *value in batch[["at", "id", *names]].itertuples(index=False)]
+            if new:
+                self.waiting.appendList(new)
+                first = min(r[0] for r in new) if first is None else min(first, min(r[0] for r in new))
         if first is not None:
             self.handle.registerTimer(first // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(((tuple(k), tuple(v)) for k, v in self.waiting.iterator()), key=lambda r: r[0])
+        # Of rows alike in time and id the last to come counts.
+        rows = sorted({tuple(r[:2]): tuple(r[2:]) for r in map(tuple, self.waiting.get())}.items(), key=lambda r: r[0])
         due = [r for r in rows if r[0][0] <= upto]
-        for k, _ in due:
-            self.waiting.removeKey(k)
+        if due and len(due) < len(rows):
+            self.waiting.put([(*k, *v) for k, v in rows[len(due) :]])
+        elif due:
+            self.waiting.clear()
         if len(due) < len(rows):
             self.handle.registerTimer(rows[len(due)][0][0] // 1000 + 1)
         if due:
