@@ -56,7 +56,7 @@ def packed(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def unpacked(data: np.ndarray) -> np.ndarray:
     last = np.flatnonzero(data < 128)
-    first = np.concatenate([[0], last[:-1] + 1]).astype(np.int64)
+    first = np.concatenate([[0], last + 1])[:-1].astype(np.int64)
     at = np.arange(len(data)) - np.repeat(first, last - first + 1)
     return np.add.reduceat((data & 127).astype(np.int64) << 7 * at, first) if len(first) else np.zeros(0, np.int64)
 
