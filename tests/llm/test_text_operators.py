@@ -528,6 +528,24 @@ def test_mixing_counts_every_text(spark):
     assert found == {d: n for d, n in want.items() if d >= 0}
 
 
+def test_mixing_counts_a_text_once(spark):
+    """The column of counts is made once for each document, not again for each of its words."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def count(text):
+        made.add(1)
+        return len(text)
+
+    docs = spark.createDataFrame([(k, "ab " * 50 * k) for k in range(8)], "doc_id long, text string")
+    none = spark.createDataFrame([], "kind string, feature string, w0 double")
+    rows = mixing.scores(docs, ["doc_id"], none, 1, tokens=count(F.col("text"))).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {k: 150 * k for k in range(8)}
+    assert made.value == len(rows)
+    plan = mixing.scores(docs, ["doc_id"], none, 1, tokens=mixing.pieces(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("Generate explode") < plan.index("regexp_")  # a plan says last what comes first
+
+
 def least_squares(n, p, wanted, scale, most):
     """Another way to the same tokens: accelerated projected gradient on all rates at once, far longer than needed."""
     a = (n[:, None] * p / scale).T

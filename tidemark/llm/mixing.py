@@ -153,7 +153,8 @@ def scores(docs: DataFrame, keys: list[str], weights: DataFrame, n_domains: int,
     """
     names = [f"w{k}" for k in range(n_domains)]
     own = [] if tokens is None else [_column(tokens).cast("long").alias("own_tokens")]
-    each = docs.select(*keys, *own, F.explode_outer(words(text_column())).alias("word"))
+    # In a step of its own: beside the explode `tokens` would be counted anew for each word of a text.
+    each = docs.select(*keys, *own, text_column().alias("text")).select(*keys, *(["own_tokens"] if own else []), F.explode_outer(words(F.col("text"))).alias("word"))
     each = each.select(*keys, *(["own_tokens"] if own else []), "word", *(f.alias(kind) for kind, f in features(F.col("word")).items()))
     kinds = list(features(F.lit("")))
     for kind in kinds:  # at most FEATURES rows
