@@ -1,6 +1,7 @@
 """Cases worked out by hand."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -175,6 +176,41 @@ def test_like_titles_make_no_square_of_pairs(spark, monkeypatch):
             assert sum(seen) < len(links) / 4
 
 
+@pytest.mark.parametrize("together", [1, 3, N.TOGETHER])
+def test_every_pair_of_like_articles(spark, together):
+    """No pair at or above the threshold is left out: of copies, of texts with one keyword set, across sets, of short titles; by brute force."""
+    import random
+    from collections import Counter
+
+    r = random.Random(11)
+    sets = [r.sample([c * 4 for c in "abcdefgh"], r.randint(1, 7)) for _ in range(25)]
+    titles = [" ".join(r.sample(w, len(w))) for w in (r.choice(sets) for _ in range(90))]
+    titles += ["Gold rises", "rises, gold", "Gold up 2%", "12:30 -- 2024-08-24", "12:30 -- 2024-08-24", "the news", "the news", "", None] + [titles[0]] * 8
+    titles += [" ".join(c * 5 for c in "abcdefghijklmno"), " ".join(c * 5 for c in "efghijklmnopqrst")]  # 15 and 16 words, 11 shared: 11/20
+    r.shuffle(titles)
+    words = [{w for w in re.findall(r"[a-z]{3,}", (t or "").lower()) if w not in dims.STOP_WORDS} for t in titles]
+    alike = lambda x, y: x and y and 20 * len(x & y) >= 11 * len(x | y)
+    want = {(i, j): len(words[i] & words[j]) / len(words[i] | words[j]) for j in range(len(titles)) for i in range(j) if alike(words[i], words[j])}
+    assert 0.55 in want.values() and any(len(titles[i]) < 14 for i, _ in want)
+    rows = spark.createDataFrame(list(enumerate(titles)), "seq long, title string").repartition(3)
+    found = N.all_near_duplicate_pairs(rows, together).collect()
+    assert Counter((x["a"], x["b"]) for x in found) == Counter(want.keys())
+    assert all(x["jaccard"] == want[x["a"], x["b"]] for x in found)
+    assert together < N.TOGETHER or N.all_near_duplicate_pairs(rows.where("seq < 0")).count() == 0
+
+
+def test_near_duplicate_pairs_of_the_tables_are_whole(spark):
+    """The query has every pair at the threshold of sf0.001's articles, compared one by one."""
+    from tidemark.plans import feeds
+
+    sf = "/root/testdata/sf0.001"
+    docs = [(x["doc_id"], x["text"]) for x in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    title = lambda t: t[:110] + "..." if len(t) > 110 else t
+    words = {k: {w for w in re.split(r"[\W]+", title(t or "").lower()) if re.fullmatch("[a-z]{3,}", w) and w not in dims.STOP_WORDS} for k, t in docs}
+    want = [(a, b) for a in words for b in words if a < b and words[a] and words[b] and 20 * len(words[a] & words[b]) >= 11 * len(words[a] | words[b])]
+    assert sorted((x["a"], x["b"]) for x in feeds.near_duplicate_pairs(spark, sf).collect()) == sorted(want)
+
+
 def test_shared_folder(spark):
     """A cluster without a shared folder is an error; scratch tables go when their block ends."""
     from types import SimpleNamespace

@@ -197,9 +197,12 @@ def title_keywords(spark: SparkSession, sf: str) -> DataFrame:
     return M.articles(spark, sf).where(N.long_enough(F.col("title"))).select("seq", F.array_sort(N.title_keywords(F.col("title"))).alias("words"))
 
 
-@query(f"WITH {ARTICLES}, {SETS} SELECT a, b, {r6('jaccard')} AS jaccard FROM near UNION ALL SELECT s.seq, k.seq, CAST(1 AS DOUBLE) FROM kw k JOIN sets s USING (words) WHERE k.seq <> s.seq")
+@query(f"""WITH {ARTICLES}, kw AS MATERIALIZED (SELECT seq, {M.WORDS} AS words FROM articles),
+ pairs AS (SELECT a.seq AS a, b.seq AS b, len(list_intersect(a.words, b.words)) AS s, len(a.words) + len(b.words) AS t FROM kw a JOIN kw b ON a.seq < b.seq AND 20 * least(len(a.words), len(b.words)) >= 11 * greatest(len(a.words), len(b.words)))
+ SELECT a, b, {r6("s / (t - s)")} AS jaccard FROM pairs WHERE s > 0 AND 20 * s >= 11 * (t - s)""")
 def near_duplicate_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return N.near_duplicate_pairs(M.articles(spark, sf)).select("a", "b", (F.round("jaccard", 6) + 0.0).alias("jaccard"))
+    """H2: every pair of articles, also of copies and of titles of any length."""
+    return N.all_near_duplicate_pairs(M.articles(spark, sf)).select("a", "b", (F.round("jaccard", 6) + 0.0).alias("jaccard"))
 
 
 DEDUP = f"""{ARTICLES}, {SETS}, nb AS MATERIALIZED (SELECT b AS seq, list(a) AS nbrs FROM near GROUP BY b), nodes AS MATERIALIZED (SELECT seq, coalesce(nbrs, []) AS nbrs, row_number() OVER (ORDER BY seq) AS i FROM sets LEFT JOIN nb USING (seq)),

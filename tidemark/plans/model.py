@@ -109,7 +109,8 @@ REGISTRY = """registry AS (SELECT c_name AS client_name, 'K' || c_custkey AS key
  CASE WHEN c_acctbal < 0 THEN 'Revoked' ELSE 'Active' END AS status, CASE WHEN c_custkey % 2 = 0 THEN 'm' || c_custkey ELSE '' END AS bound_mobile_id,
  CASE WHEN c_custkey % 3 = 0 THEN 'p' || c_custkey ELSE '' END AS bound_pc_id, '' AS bound_at FROM customer)"""
 LOGINS = "logins AS (SELECT ts AS login_ts, event_id AS login_id, user_id AS key, CASE WHEN event_type IN ('error','click') THEN 'Mobile' ELSE 'PC' END AS dev_type, props AS device_id FROM events)"
-SETS = f"""kw AS (SELECT seq, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{3,}}') AND NOT list_contains({literal(STOP_WORDS)}, x)))) AS words
+WORDS = f"list_sort(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{3,}}') AND NOT list_contains({literal(STOP_WORDS)}, x))))"
+SETS = f"""kw AS (SELECT seq, {WORDS} AS words
  FROM articles WHERE length(regexp_replace(title, '^\\s+|\\s+$', '', 'g')) >= 14),
  sets AS (SELECT words, min(seq) AS seq FROM kw WHERE len(words) > 0 GROUP BY words),
  pairs AS (SELECT a.seq AS a, b.seq AS b, len(list_intersect(a.words, b.words)) AS s, len(a.words) + len(b.words) AS t FROM sets a JOIN sets b ON a.seq < b.seq AND 20 * least(len(a.words), len(b.words)) >= 11 * greatest(len(a.words), len(b.words))),
